@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, packing, quality_rules, sentencepiece_codec, toxicity, url_filters
+from . import ann, jaccard_join, language_id, packing, quality_rules, sentencepiece_codec, toxicity, url_filters
 from .common import read
 
 #: Folder of the public tokenizers' files; None: as the installed package says.
@@ -31,6 +31,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"), outcomes, url_filters.RULES).drop("bound")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -58,6 +62,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_url_filters, op5_best_fit_packing, op6_toxicity, op7_ann, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_url_filters, op4_ngram_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_ann, op9_quality_rules, op10_language_id)}
 
-ORACLE_SQL = {"op3_url_filters": url_filters.oracle()}
+ORACLE_SQL = {"op3_url_filters": url_filters.oracle(), "op4_ngram_jaccard_join": jaccard_join.oracle(3, 90)}
