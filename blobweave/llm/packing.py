@@ -36,7 +36,7 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿāăąćĉċčďđē
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0²³¹¼½¾İ]|[^\x00-ſ]|<\\|")
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of whole texts by the tokenizers library, word by word with a cache.
 
     White space is dropped by this kind of tokenizer and no step looks across ASCII white space,
@@ -47,9 +47,9 @@ class WordIds:
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = Tokenizer.from_file(tokenizer_file)
         self.model = self.whole.model
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves
         self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in kept)}
@@ -61,26 +61,23 @@ class WordIds:
             got = self.parts[s] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
         return got
 
-    def word(self, w: bytes) -> bytes:
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) + len(self.parts) > CACHE_WORDS:
+            self.clear()
+            self.parts.clear()
         s = w.decode()
-        if _UNSURE.search(s) or not s.isprintable():
-            return np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.part, _PARTS.findall(s.lower())))
+        if s.isascii() and s.isalpha():
+            ids = self.part(s.lower())
+        elif _UNSURE.search(s) or not s.isprintable():
+            ids = np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = b"".join(map(self.part, _PARTS.findall(s.lower())))
+        self[w] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids."""
-        words = text.split()
-        kept = self.words
-        try:
-            return b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            if len(kept) + len(self.parts) > CACHE_WORDS:
-                kept.clear()
-                self.parts.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = self.word(w)
-        return b"".join(map(kept.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
