@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language_id, packing, quality_rules, sentencepiece_codec, toxicity, url_filters
+from . import ann, jaccard_join, language_id, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, url_filters
 from .common import read
 
 #: Folder of the public tokenizers' files; None: as the installed package says.
@@ -50,6 +50,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
@@ -62,6 +66,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_url_filters, op4_ngram_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_ann, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_url_filters, op4_ngram_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_ann, op8_substring_dedup, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {"op3_url_filters": url_filters.oracle(), "op4_ngram_jaccard_join": jaccard_join.oracle(3, 90)}
