@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language_id, packing, quality_rules, sentencepiece_codec, substring_dedup, toxicity, url_filters
+from . import ann, jaccard_join, language_id, packing, pii, quality_rules, sentencepiece_codec, substring_dedup, toxicity, url_filters
 from .common import read
 
 #: Folder of the public tokenizers' files; None: as the installed package says.
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
 
@@ -66,6 +70,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_url_filters, op4_ngram_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_ann, op8_substring_dedup, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_url_filters, op4_ngram_jaccard_join, op5_best_fit_packing, op6_toxicity, op7_ann, op8_substring_dedup, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {"op3_url_filters": url_filters.oracle(), "op4_ngram_jaccard_join": jaccard_join.oracle(3, 90)}
