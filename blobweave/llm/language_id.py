@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns, lang_pred and score."""
     from pyspark.sql import types as T
 
-    names = [f"_k{i}" for i in range(len(keep))]
+    names = ["_text" if c == "text" else f"_k{i}" for i, c in enumerate(keep)]
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]).add("lang_pred", "string").add("score", "double")
 
     def run(batches):
@@ -184,4 +184,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             lang, score = model.predict(b.column("_text"))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *[F.col("text").alias("_text")] * ("text" not in keep)).mapInArrow(run, schema)
