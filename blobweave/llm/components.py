@@ -15,16 +15,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     written to the shared folder, so the plan does not grow. It ends when no label changes.
     """
     both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         met = labels.join(near, "node", "left").select("node", "component", F.least("component", "least").alias("met"))
-        jump = met.select(F.col("node").alias("target"), F.col("met").alias("further"))
-        new = scratch.save(met.join(jump, met.met == jump.target, "left").select("node", F.least("met", "further").alias("new"), "component"))
-        changed = new.where("new <> component").limit(1).count()
-        out = new.select("node", F.col("new").alias("component"))
-        if not changed:
-            return out
-        scratch.drop(labels)
-        labels = scratch.save(out)
-        scratch.drop(new)
+        jump = labels.select(F.col("node").alias("target"), F.col("component").alias("further"))
+        saved = scratch.save(met.join(jump, met.met == jump.target, "left").select("node", F.least("met", "further").alias("new"), "component"))
+        labels = saved.select("node", F.col("new").alias("component"))
+        if not saved.where("new <> component").limit(1).count():
+            return labels

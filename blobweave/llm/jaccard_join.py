@@ -9,11 +9,10 @@ case also by all contents less one shingle. Which of the two is used is decided
 number of keys that it costs a set. Empty segments say nothing: one segment more than needed is cut, and
 only sets with more empty segments than that index them. Candidates are verified exactly.
 
-Equal sets form a class and are one node. Sets that share a key are compared in rounds: in every bucket
-whose members are not yet all in one component, each member is compared with the bucket's pivot, the
-one with the most companions left; the pivot then leaves the bucket. As every pair of a bucket is
-compared or already connected in the end, no link between components is lost, and a large group of
-near copies costs rows in proportion to its size in each round.
+Equal sets form a class and are one node. Sets that share a key are first compared with the bucket's pivot, the member
+with the most companions, which joins most near copies at a cost in proportion to their number. In buckets whose
+members are still in more than one component all pairs of different components are compared, tile by tile within
+tasks; so no link between components is lost, and only links leave a task.
 
 Shingles and sets are known by 64-bit hashes, so two of n different sets are mistaken with a
 probability of n * n / 2**65.
@@ -36,6 +35,8 @@ from .components import components
 from .textkit import mix, shingles, words
 
 U64 = np.uint64
+#: Sets in a tile.
+TILE = 128
 
 
 def sets(col: pa.Array, n: int) -> list[np.ndarray]:
@@ -205,32 +206,82 @@ def links(docs: DataFrame, made: DataFrame, scratch: Scratch, n: int, percent: i
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets(b.column("text"), n)], pa.binary())], names=["id", "items"])
 
     known = scratch.save(docs.select("doc_id", "text").join(one, "doc_id").select("id", "text").mapInArrow(items, "id bigint, items binary").dropDuplicates(["id"]))
-    labels = scratch.save(needed.select(F.col("id").alias("node"), F.col("id").alias("component")))
-    found = None
-    while True:
-        # buckets whose members are in more than one component
-        members = bucket.join(labels, bucket.id == labels.node).select("key", "id", "component")
-        open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-        members = scratch.save(members.join(open_keys, "key"))
-        central = members.groupBy("id").agg(F.sum("size").alias("companions"))
-        # the pivot: most companions, then smallest id; packed in one number so that it is a plain maximum
-        rank = F.least(F.col("companions"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64("id"), F.lit(1 << 42))
-        ranked = members.join(central.select("id", rank.alias("rank")), "id")
-        top = ranked.groupBy("key").agg(F.max("rank").alias("rank"))
-        ranked = scratch.save(ranked.join(top.withColumnRenamed("rank", "top"), "key"))
-        pivots = ranked.where("rank = top").groupBy("key").agg(F.min("id").alias("pivot"), F.min("component").alias("pivot_component"))
-        tested = ranked.join(pivots, "key").where("component <> pivot_component")
-        pairs = scratch.save(tested.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-        if not pairs.limit(1).count():
-            break
-        good = scratch.save(verify(pairs, known, percent))
-        found = good if found is None else scratch.save(found.union(good))
-        old, bucket = bucket, scratch.save(ranked.join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select("key", "id"))
-        for x in (old, members, ranked, pairs, labels):
-            scratch.drop(x)
-        linked = components(found, scratch)
-        labels = scratch.save(needed.join(linked, needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component")))
-    return labels
+    alone = needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    first = scratch.save(ranked(bucket, alone))
+    found = scratch.save(with_pivots(first, known, percent))
+    labels = scratch.save(labelled(needed, components(found, scratch)))
+    rest = scratch.save(ranked(bucket, labels))
+    more = scratch.save(in_tiles(rest, known, percent))
+    return labelled(needed, components(found.union(more), scratch))
+
+
+def labelled(needed: DataFrame, linked: DataFrame) -> DataFrame:
+    """Components of all needed ids; one without links is its own."""
+    return needed.join(linked, needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
+
+
+def ranked(bucket: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, id, component, rank, top) of the buckets whose members are in more than one component.
+
+    rank orders members by companions and then by a hash, in one number; top is the bucket's largest.
+    """
+    members = bucket.join(labels, bucket.id == labels.node).select("key", "id", "component")
+    open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    members = members.join(open_keys, "key")
+    rank = F.least(F.sum("size"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64("id"), F.lit(1 << 42))
+    own = members.join(members.groupBy("id").agg(rank.alias("rank")), "id").drop("size")
+    return own.join(own.groupBy("key").agg(F.max("rank").alias("top")), "key").select("key", "id", "component", "rank", "top")
+
+
+def with_pivots(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between each member of a bucket and the bucket's first in rank."""
+    pivots = members.where("rank = top").groupBy("key").agg(F.min("id").alias("pivot"), F.min("component").alias("pivot_component"))
+    tested = members.join(pivots, "key").where("component <> pivot_component")
+    return verify(tested.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), known, percent)
+
+
+def in_tiles(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between all members of a bucket that are in different components.
+
+    Buckets with the same first in rank are taken together, as groups of near copies share many buckets.
+    They are cut into tiles of about ``TILE`` sets and each pair of tiles is compared within one task,
+    which gives nothing but the links.
+    """
+    rows = members.select(F.col("top").alias("hub"), "id", "component").distinct()
+    tiles = rows.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = rows.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("hub", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, part, tile = (t[c].to_numpy() for c in ("id", "component", "tile"))
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if len(np.unique(part)) < 2:
+            return none
+        each = [np.frombuffer(x, U64) for x in t["items"].to_pylist()]
+        size = np.array([len(x) for x in each])
+        owner = np.repeat(np.arange(len(each)), size)
+        _, slot, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        keep = n[slot] > 1  # shingles of one set only add to no intersection
+        new = np.cumsum(n > 1) - 1
+        owner, slot = owner[keep], new[slot[keep]]
+        order = np.argsort(slot, kind="stable")
+        owner, slot = owner[order], slot[order]
+        inter = np.zeros((len(each), len(each)), np.float32)
+        width = 4096
+        for low in range(0, int(slot[-1]) + 1 if len(slot) else 0, width):
+            a, z = np.searchsorted(slot, [low, low + width])
+            m = np.zeros((len(each), width), np.float32)
+            m[owner[a:z], slot[a:z] - low] = 1
+            inter += m @ m.T
+        union = size[:, None] + size[None, :] - inter
+        ok = (100 * inter >= percent * union) & (part[:, None] < part[None, :])
+        if t["i"][0].as_py() != t["j"][0].as_py():
+            ok &= tile[:, None] != tile[None, :]
+        x, y = np.nonzero(ok)
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+    return spread.join(known, "id").groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
