@@ -6,13 +6,15 @@ cut by hash into segments, whose number follows from the largest symmetric diffe
 linked pair can have: of H + 1 segments at least one is equal in both sets; of H / 2 + 1 segments at
 least one differs by one shingle at most. Each set is indexed by its segments' contents, in the second
 case also by all contents less one shingle. Which of the two is used is decided for each group by the
-number of keys that it costs a set. Empty segments say nothing: one segment more than needed is cut, and
-only sets with more empty segments than that index them. Candidates are verified exactly.
+number of keys that it costs a set. Weak segments, with one shingle or none, say little: some more segments
+than needed are cut, so that a linked pair has as many more equal ones, and only sets with more weak segments than
+that index them. Candidates are verified exactly.
 
-Equal sets form a class and are one node. Sets that share a key are first compared with the bucket's pivot, the member
-with the most companions, which joins most near copies at a cost in proportion to their number. In buckets whose
-members are still in more than one component all pairs of different components are compared, tile by tile within
-tasks; so no link between components is lost, and only links leave a task.
+Equal sets form a class and are one node. Buckets with the same first member, the one with the most companions, are
+taken together. Where that makes a large group, its members are first compared with that one alone, which joins most near
+copies at a cost in proportion to their number. What is still in different components is compared pair by pair, tile
+by tile within tasks, by sketches that miss no linked pair; only what passes leaves the task and is verified with
+the sets themselves. So no link between components is lost.
 
 Shingles and sets are known by 64-bit hashes, so two of n different sets are mistaken with a
 probability of n * n / 2**65.
@@ -25,6 +27,8 @@ in one class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +41,12 @@ from .textkit import mix, shingles, words
 U64 = np.uint64
 #: Sets in a tile.
 TILE = 128
+#: Sets that share a bucket's first member before they are compared with it alone.
+LARGE = 256
+#: Segments of a sketch for each unit of the largest difference.
+FINE = 4
+#: Keys of a set that are not too many in any case, as contents less one shingle select better.
+FEW_KEYS = 160
 
 
 def sets(col: pa.Array, n: int) -> list[np.ndarray]:
@@ -53,12 +63,13 @@ def set_id(s: np.ndarray) -> int:
 class Bands:
     """Sizes, segments and keys for the threshold percent/100."""
 
-    def __init__(self, percent: int, extra: int = 1):
-        self.percent, self.extra = percent, extra
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.plans: dict[int, tuple[int, int, int, bool]] = {}
         # 100 * inter >= percent * union bounds the symmetric difference of sizes x, y by this share of x + y
         self.num, self.den = 100 - percent, 100 + percent
-        least = 2
-        while self.difference(2 * least - 1) == 0:  # smaller sets are linked only if equal
+        least = 1
+        while self.difference(least + least * 100 // percent) == 0:  # smaller sets are linked only if equal
             least += 1
         self.low = [least]
 
@@ -71,15 +82,43 @@ class Bands:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.low, size, "right")) - 1
 
-    def plan(self, group: int) -> tuple[int, bool]:
-        """The number of segments of a group, and whether contents less one shingle are indexed."""
-        self.band(self.low[-1] if len(self.low) <= group + 2 else 0)
+    def most(self, group: int) -> int:
+        """The largest symmetric difference of a linked pair in a group."""
         while len(self.low) <= group + 2:
             self.band(self.low[-1])
         x = self.low[group + 1] - 1
-        h = self.difference(x + min(x * 100 // self.percent, self.low[group + 2] - 1))
-        whole, less = h + 1 + self.extra, h // 2 + 1
-        return (less, True) if x + less < 4 * whole else (whole, False)
+        return self.difference(x + min(x * 100 // self.percent, self.low[group + 2] - 1))
+
+    def plan(self, group: int) -> tuple[int, int, int, bool]:
+        """Of a group: the number of segments, how many weak ones a set may leave out, the size from which a segment
+        is not weak, and whether contents less one shingle are indexed."""
+        if group not in self.plans:
+            h = self.most(group)
+            less = h // 2 + 1
+            slack = self.slack(self.low[group], h + 1)
+            strong = 2 if slack else 1
+            whole = h + 1 + (slack or 1)
+            few = self.low[group + 1] - 1 + less < max(2 * whole, FEW_KEYS)
+            self.plans[group] = (less, 0, 2, True) if few else (whole, slack or 1, strong, False)
+        return self.plans[group]
+
+    def sketch(self, s: np.ndarray, group: int) -> np.ndarray:
+        """A byte for the content of each of ``FINE`` (H + 1) segments; of sets with a symmetric difference of d at most d differ."""
+        n = FINE * (self.most(group) + 1)
+        cut = np.searchsorted(((s >> U64(32)) * U64(n)) >> U64(32), np.arange(n + 1, dtype=U64))
+        total = np.append(U64(0), np.cumsum(mix(s), dtype=U64))
+        return (mix(total[cut[1:]] - total[cut[:-1]]) >> U64(56)).astype(np.uint8)
+
+    @staticmethod
+    def slack(size: int, needed: int) -> int:
+        """Segments cut beyond those needed, so that most sets of this size have no more with one shingle or none; 0 if
+        that takes so many that the segments get too small."""
+        for slack in range(1, 3 + needed * 3 // 10):
+            mean = size / (needed + slack)
+            weak = (needed + slack) * math.exp(-mean) * (1 + mean)
+            if slack >= weak + 1.5 * math.sqrt(weak):
+                return slack
+        return 0
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """The keys of one sorted set in its own group and the one below."""
@@ -88,20 +127,20 @@ class Bands:
             return np.zeros(0, np.int64)
         out = []
         scrambled = mix(s)
+        total = np.append(U64(0), np.cumsum(scrambled, dtype=U64))
         for group in (band - 1, band):
             if group < 0:
                 continue
-            n, less = self.plan(group)
+            n, slack, strong, less = self.plan(group)
             segment = ((s >> U64(32)) * U64(n)) >> U64(32)  # ascending, as s is
             cut = np.searchsorted(segment, np.arange(n + 1, dtype=U64))
-            total = np.append(U64(0), np.cumsum(scrambled, dtype=U64))
             sums = total[cut[1:]] - total[cut[:-1]]
             size = np.diff(cut)
             salt = mix(np.arange(n, dtype=U64) + U64(group) * U64(1 << 32) + U64(1 << 60))
-            weak = size <= less  # empty ones, and with deletions those that a deletion empties
-            enough = weak.sum() <= (0 if less else self.extra)
-            tell = size > 0 if enough else np.ones(n, bool)
-            out.append(mix(sums + salt)[tell])
+            weak = size < strong
+            enough = weak.sum() <= slack
+            # with deletions a single shingle still tells, as what it is compared with has two
+            out.append(mix(sums + salt)[size >= (1 if less else strong) if enough else slice(None)])
             if less:
                 ok = np.repeat(size > 1 if enough else size > 0, size)
                 out.append(mix(np.repeat(sums + salt, size) - scrambled)[ok])
@@ -203,15 +242,22 @@ def links(docs: DataFrame, made: DataFrame, scratch: Scratch, n: int, percent: i
 
     def items(batches):
         for b in blocks(batches):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets(b.column("text"), n)], pa.binary())], names=["id", "items"])
-
-    known = scratch.save(docs.select("doc_id", "text").join(one, "doc_id").select("id", "text").mapInArrow(items, "id bigint, items binary").dropDuplicates(["id"]))
+            own = sets(b.column("text"), n)
+            band = [bands.band(len(x)) for x in own]
+            low = [bands.sketch(x, k - 1).tobytes() if k > 0 else None for x, k in zip(own, band, strict=True)]
+            high = [bands.sketch(x, k).tobytes() if k >= 0 else None for x, k in zip(own, band, strict=True)]
+            cols = [b.column("id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "size", "band", "low", "high"])
+
+    texts = docs.select("doc_id", "text").join(one, "doc_id").select("id", "text")
+    known = scratch.save(texts.mapInArrow(items, "id bigint, items binary, size bigint, band int, low binary, high binary").dropDuplicates(["id"]))
     alone = needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    first = scratch.save(ranked(bucket, alone))
-    found = scratch.save(with_pivots(first, known, percent))
-    labels = scratch.save(labelled(needed, components(found, scratch)))
-    rest = scratch.save(ranked(bucket, labels))
-    more = scratch.save(in_tiles(rest, known, percent))
+    rest = scratch.save(ranked(bucket, alone))
+    found = scratch.save(with_pivots(rest, known, percent))
+    if found.limit(1).count():
+        rest = scratch.save(ranked(bucket, scratch.save(labelled(needed, components(found, scratch)))))
+    likely = scratch.save(in_tiles(rest, known, bands).distinct())
+    more = scratch.save(verify(likely, known, percent))
     return labelled(needed, components(found.union(more), scratch))
 
 
@@ -234,18 +280,20 @@ def ranked(bucket: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_pivots(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between each member of a bucket and the bucket's first in rank."""
-    pivots = members.where("rank = top").groupBy("key").agg(F.min("id").alias("pivot"), F.min("component").alias("pivot_component"))
-    tested = members.join(pivots, "key").where("component <> pivot_component")
+    """Links (a, b) between the first in rank and all that share its buckets, if those are many."""
+    rows = members.select("top", "id", "component").distinct()
+    many = rows.groupBy("top").count().where(F.col("count") > LARGE).select("top")
+    pivots = members.where("rank = top").groupBy("top").agg(F.min("id").alias("pivot"), F.min("component").alias("pivot_component"))
+    tested = rows.join(many, "top").join(pivots, "top").where("component <> pivot_component")
     return verify(tested.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), known, percent)
 
 
-def in_tiles(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between all members of a bucket that are in different components.
+def in_tiles(members: DataFrame, known: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of sets that share a bucket's first in rank, are in different components and may be linked.
 
     Buckets with the same first in rank are taken together, as groups of near copies share many buckets.
-    They are cut into tiles of about ``TILE`` sets and each pair of tiles is compared within one task,
-    which gives nothing but the links.
+    They are cut into tiles of about ``TILE`` sets and each pair of tiles is compared within one task by
+    sketches, which rule out no linked pair; only what is left leaves the task.
     """
     rows = members.select(F.col("top").alias("hub"), "id", "component").distinct()
     tiles = rows.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
@@ -254,34 +302,24 @@ def in_tiles(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     spread = spread.select("hub", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, part, tile = (t[c].to_numpy() for c in ("id", "component", "tile"))
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if len(np.unique(part)) < 2:
-            return none
-        each = [np.frombuffer(x, U64) for x in t["items"].to_pylist()]
-        size = np.array([len(x) for x in each])
-        owner = np.repeat(np.arange(len(each)), size)
-        _, slot, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        keep = n[slot] > 1  # shingles of one set only add to no intersection
-        new = np.cumsum(n > 1) - 1
-        owner, slot = owner[keep], new[slot[keep]]
-        order = np.argsort(slot, kind="stable")
-        owner, slot = owner[order], slot[order]
-        inter = np.zeros((len(each), len(each)), np.float32)
-        width = 4096
-        for low in range(0, int(slot[-1]) + 1 if len(slot) else 0, width):
-            a, z = np.searchsorted(slot, [low, low + width])
-            m = np.zeros((len(each), width), np.float32)
-            m[owner[a:z], slot[a:z] - low] = 1
-            inter += m @ m.T
-        union = size[:, None] + size[None, :] - inter
-        ok = (100 * inter >= percent * union) & (part[:, None] < part[None, :])
-        if t["i"][0].as_py() != t["j"][0].as_py():
-            ok &= tile[:, None] != tile[None, :]
-        x, y = np.nonzero(ok)
-        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
-
-    return spread.join(known, "id").groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+        ids, part, tile, size, band = (t[c].to_numpy() for c in ("id", "component", "tile", "size", "band"))
+        low, high = t["low"].to_pylist(), t["high"].to_pylist()
+        crossed = t["i"][0].as_py() != t["j"][0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for group in np.unique(band[band >= 0]):
+            left, right = np.flatnonzero(band == group), np.flatnonzero((band == group) | (band == group + 1))
+            own = np.stack([np.frombuffer(high[k] if band[k] == group else low[k], np.uint8) for k in right])
+            for k in left:
+                equal = (own == np.frombuffer(high[k], np.uint8)).sum(1)
+                ok = (equal >= own.shape[1] - bands.num * (size[right] + size[k]) // bands.den) & (part[right] != part[k])
+                ok &= (band[right] != group) | (ids[right] > ids[k])
+                if crossed:
+                    ok &= tile[right] != tile[k]
+                a.append(np.minimum(ids[right[ok]], ids[k]))
+                b.append(np.maximum(ids[right[ok]], ids[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return spread.join(known.select("id", "size", "band", "low", "high"), "id").groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
