@@ -37,7 +37,13 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        conf, setting = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(setting)
+        conf.set(setting, "true")  # the table replaces the shuffle files that led to it
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(setting, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
