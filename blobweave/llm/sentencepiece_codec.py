@@ -175,7 +175,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str
     ids: array<int>; starts, ends: array<bigint> of original byte offsets; decoded: string.
     With digests: n_tokens, ids_sha256, decoded_sha256, covered_bytes (end of the last span).
     """
-    schema = docs.select(*keep).schema
+    schema = T.StructType([docs.schema[c] for c in keep])
     schema = (
         schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("covered_bytes", "long")
         if digests
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str
 
 def decode(ids: DataFrame, model_file: str, column: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The text of each row's ids; null ids give an empty text."""
-    schema = ids.select(*keep).schema.add("decoded", "string")
+    schema = T.StructType([ids.schema[c] for c in keep]).add("decoded", "string")
 
     def run(batches):
         c = codec(model_file)
