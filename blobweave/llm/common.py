@@ -12,6 +12,8 @@ from ..session import ship
 
 #: Text bytes that a Python kernel handles at once. A longer single text is one block of its own.
 BLOCK_BYTES = 1 << 20
+#: Where the session names no shared folder, as in local tests.
+_OWN = f"/tmp/blobweave-{uuid.uuid4().hex[:8]}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,10 +28,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"/tmp/blobweave-{uuid.uuid4().hex[:8]}"
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or _OWN
         self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
