@@ -95,8 +95,12 @@ class Bands:
         if group not in self.plans:
             h = self.most(group)
             less = h // 2 + 1
+            # where leaving out segments of one shingle would take too many, only empty ones are weak
+            strong = 2
             slack = self.slack(self.low[group], h + 1)
-            strong = 2 if slack else 1
+            if not slack:
+                strong = 1
+                slack = self.slack(self.low[group], h + 1, strong)
             whole = h + 1 + (slack or 1)
             few = self.low[group + 1] - 1 + less < max(2 * whole, FEW_KEYS)
             self.plans[group] = (less, 0, 2, True) if few else (whole, slack or 1, strong, False)
@@ -110,12 +114,12 @@ class Bands:
         return (mix(total[cut[1:]] - total[cut[:-1]]) >> U64(56)).astype(np.uint8)
 
     @staticmethod
-    def slack(size: int, needed: int) -> int:
-        """Segments cut beyond those needed, so that most sets of this size have no more with one shingle or none; 0 if
-        that takes so many that the segments get too small."""
+    def slack(size: int, needed: int, strong: int = 2) -> int:
+        """Segments cut beyond those needed, so that most sets of this size have no more with fewer shingles than ``strong``
+        (1 or 2); 0 if that takes so many that the segments get too small."""
         for slack in range(1, 3 + needed * 3 // 10):
             mean = size / (needed + slack)
-            weak = (needed + slack) * math.exp(-mean) * (1 + mean)
+            weak = (needed + slack) * math.exp(-mean) * (1 + mean if strong > 1 else 1)
             if slack >= weak + 1.5 * math.sqrt(weak):
                 return slack
         return 0

@@ -15,9 +15,8 @@ from blobweave.session import ship
 
 #: Documents whose language scores less go, besides those without a language.
 LEAST_SCORE = 0.2
-#: Near duplicates: five-word shingles, and of the similarities from 0.8 up the one that copies with a three-word similarity of 0.9 reach
-#: if their changes are single words apart: x changed words in 100 leave (100 - 3x) / (100 + 3x) and (100 - 5x) / (100 + 5x).
-SHINGLE, PERCENT = 5, 84
+#: Near duplicates: five-word shingles, and the similarity from which documents are linked.
+SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,6 +182,29 @@ def test_join_equals_all_pairs(spark, n, percent, each, size):
     assert got == plain_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("each,size", [(6, 25), (8, 150), (5, 260)])
+def test_join_at_four_fifths_equals_all_pairs(spark, each, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for g in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 4000, size + 9 * g)]
+        for _ in range(each):
+            copy = list(base)
+            for at in rng.choice(len(copy), rng.integers(0, 2 + len(copy) // 40), replace=False):
+                copy[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((100 + len(rows), " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+
+
+def test_sets_with_few_empty_segments_leave_them_out():
+    rng = np.random.default_rng(3)
+    bands = jaccard_join.Bands(80)
+    own = [np.unique(rng.integers(0, 1 << 64, 190, np.uint64)) for _ in range(200)]  # nothing in common
+    _, n = np.unique(np.concatenate([bands.keys(s) for s in own]), return_counts=True)
+    assert (n - 1).sum() <= 100
+
+
 def test_join_of_odd_rows(spark):
     d = odd(spark, [(30, "A b"), (31, "a\tB"), (32, "a b c")])
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard_join.join(d, 3, 90).collect())

@@ -31,3 +31,10 @@ def test_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_near_duplicates_from_four_fifths_up(spark, sf):
+    words = [f"w{i}" for i in range(150)]
+    copy = [f"x{i}" if i in (30, 75, 120) else w for i, w in enumerate(words)]  # 131 of 161 shingles: 0.81
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "another text of a few words")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [1, 3]
