@@ -439,6 +439,25 @@ def test_language(spark):
     assert {x.lang_pred for x in language_id.predict(d.limit(5), empty).collect()} == {"und"}
 
 
+def test_languages_of_a_family_are_told_apart_by_pairs():
+    rng = np.random.default_rng(0)
+    names = ["de", "en", "nl", "sv"]
+    texts = [("".join(rng.choice(list("abcdefgh"[2 * k : 2 * k + 2] + "xyz "), 120)), lang) for k, lang in enumerate(names) for _ in range(30)]
+    col, y = pa.array([t for t, _ in texts]), np.array([v for _, v in texts], object)
+    x = language_id.shares(col)
+    model = language_id.Model(x, y)
+    langs, machine = model.within["germanic"]
+    assert langs == names and len(machine) == 6  # one for each pair
+    for k, (a, b) in enumerate((a, b) for i, a in enumerate(names) for b in names[i + 1 :]):
+        own = (y == a) | (y == b)
+        assert np.allclose(machine[k], language_id.machines(x[own] * model.scale, y[own], [a])[0])
+    got, score = model.predict(col)
+    assert got == y.tolist() and (score > 0.5).all()
+    # votes before margins: the first class wins all three narrowly; margins decide between equal votes
+    best, _ = language_id.Model.vote(np.array([[0.1, 0.1, 0.1, -9.0, 9.0, 0.2], [0.1, -0.3, 1.0, 0.2, 1.0, 1.5]]), 4)
+    assert best.tolist() == [0, 2]
+
+
 def test_words_follow_the_definition():
     texts = ["", " a  b\x0bc\x0cd ", "é\u00a0x\u2003y z", None, "A a"]
     w = textkit.words(pa.array(texts))
