@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, blocks
 from .components import components
@@ -250,11 +251,14 @@ def links(docs: DataFrame, made: DataFrame, scratch: Scratch, n: int, percent: i
             band = [bands.band(len(x)) for x in own]
             low = [bands.sketch(x, k - 1).tobytes() if k > 0 else None for x, k in zip(own, band, strict=True)]
             high = [bands.sketch(x, k).tobytes() if k >= 0 else None for x, k in zip(own, band, strict=True)]
-            cols = [b.column("id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
+            cols = [pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "size", "band", "low", "high"])
 
-    texts = docs.select("doc_id", "text").join(one, "doc_id").select("id", "text")
-    known = scratch.save(texts.mapInArrow(items, "id bigint, items binary, size bigint, band int, low binary, high binary").dropDuplicates(["id"]))
+    # rows that share a doc_id may have different sets, so each row's own set tells which it is; a set may have no doc_id
+    named = docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    texts = named.union(docs.where("doc_id is null").select("text"))
+    made_items = texts.mapInArrow(items, "id bigint, items binary, size bigint, band int, low binary, high binary")
+    known = scratch.save(made_items.join(needed, "id", "left_semi").dropDuplicates(["id"]))
     alone = needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
     rest = scratch.save(ranked(bucket, alone))
     found = scratch.save(with_pivots(rest, known, percent))
@@ -326,8 +330,9 @@ def in_tiles(members: DataFrame, known: DataFrame, bands: Bands) -> DataFrame:
     return spread.join(known.select("id", "size", "band", "low", "high"), "id").groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) for docs (doc_id, text)."""
+def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (doc_id, id, n_shingles, component_id, component), one for each of docs; id: its set. component names what it is in, also
+    where no member has a doc_id; it is null without shingles."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     made = scratch.save(classes(docs, n))
     # a class is named by its set; its component by the smallest doc_id in it
@@ -336,9 +341,43 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     by_class = full.groupBy("id").agg(F.min("doc_id").alias("least"))
     grouped = by_class.join(labels, by_class.id == labels.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = grouped.join(named, "component").select("id", "component_id")
-    out = full.join(by_class, "id").select("doc_id", "n_shingles", "component_id")
-    return out.union(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    by_class = grouped.join(named, "component").select("id", "component_id", "component")
+    out = full.join(by_class, "id").select("doc_id", "id", "n_shingles", "component_id", "component")
+    return out.union(made.where("n_shingles = 0").select("doc_id", "id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long")))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) for docs (doc_id, text)."""
+    return members(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def with_sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs with each row's set and its size as the last columns, _id and _size."""
+
+    def run(batches):
+        for b in blocks(batches):
+            own = sets(b.column("text"), n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())], names=[*b.schema.names, "_id", "_size"])
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField("_id", T.LongType()), T.StructField("_size", T.LongType())]))
+
+
+def firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of docs without those that are linked with one of a smaller doc_id; of equal ones the least row.
+
+    A doc_id that several rows share, or none, does not tell which row is meant: there the set decides too.
+    """
+    scratch = Scratch(docs.sparkSession, "firsts")
+    found = scratch.save(members(docs.select("doc_id", "text"), n, percent))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("best")).select(F.col("best.id").alias("_best"), F.col("best.doc_id").alias("_doc"))
+    many = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.coalesce("component_id", F.lit(-1)) != F.col("doc_id"))).alias("goes")).where("doc_id is not null")
+    sure = docs.join(many.where("n > 1 or goes").select("doc_id"), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
+    unsure = docs.join(many.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    unsure = scratch.save(with_sets(unsure, n))
+    kept = unsure.join(best, (F.col("_id") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").where("_size > 0")
+    kept = kept.groupBy("doc_id", "_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return sure.union(kept).union(unsure.where("_size = 0").select(*docs.columns))
 
 
 def oracle(n: int, percent: int) -> str:

@@ -29,11 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of similar documents the one with the smallest doc_id (operator 4)."""
+    """Keeps of each group of similar documents the one with the smallest doc_id, and of repeated rows one (operator 4)."""
     ship(spark)
-    found = jaccard_join.join(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.firsts(docs, SHINGLE, PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

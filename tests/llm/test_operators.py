@@ -212,6 +212,26 @@ def test_join_of_odd_rows(spark):
     assert jaccard_join.join(none(spark), 3, 90).count() == 0
 
 
+def test_join_links_through_rows_without_a_name_of_their_own(spark):
+    words = [f"w{i}" for i in range(100)]
+
+    def copy(*at):
+        return " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+
+    other = [f"o{i}" for i in range(100)]
+    rows = [(1, copy()), (None, copy(30)), (2, copy(30, 70))]  # 1 and 2 are linked by the row between them only
+    rows += [(7, " ".join(other)), (7, "words of another text " * 9), (8, " ".join(["y", *other[1:]]))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert got == {(1, 98, 1), (None, 98, 1), (2, 98, 1), (7, 98, 7), (7, 4, 7), (8, 98, 7)}
+
+
+def test_firsts_tell_rows_of_one_name_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, b), (None, "d " + c), (None, "e f g h"), (None, "e f g h"), (4, " "), (4, " "), (5, None)]
+    got = jaccard_join.firsts(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (2, b), (3, c), (None, "e f g h"), (4, " "), (4, " "), (5, None)]))
+
+
 def test_keys_meet_for_every_linked_pair():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
