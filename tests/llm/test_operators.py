@@ -397,6 +397,22 @@ def test_substring_dedup(spark):
     assert substring_dedup.removals(none(spark).select("doc_id", "text")).count() == 0
 
 
+def test_substring_dedup_sees_past_the_first_of_a_bucket(spark):
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    rows = []
+    for k in range(40):  # the first document quotes less than a block of what the two others hold whole
+        passage = prose(60)
+        cut = passage[:45] if k % 2 else passage[15:]
+        rows += [(1000 * k + 1, prose(80) + cut + prose(80)), (1000 * k + 2, prose(70) + passage + prose(90)), (1000 * k + 3, prose(90) + passage + prose(70))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_words) for r in substring_dedup.removals(d).collect()}
+    assert got == {(1000 * k + 3, 60) for k in range(40)}
+
+
 def test_minima_are_those_of_every_window():
     rng = np.random.default_rng(0)
     v, same = rng.integers(0, 1 << 62, 500).astype(np.uint64), np.repeat([0, 1, 2], [200, 30, 270])
