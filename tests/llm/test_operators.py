@@ -413,6 +413,24 @@ def test_substring_dedup_sees_past_the_first_of_a_bucket(spark):
     assert got == {(1000 * k + 3, 60) for k in range(40)}
 
 
+def test_substring_dedup_takes_every_copy(spark):
+    rng = np.random.default_rng(6)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    passage = prose(60)
+    twice = prose(80) + passage + prose(90) + passage + prose(30)
+    rows = [(1, prose(50) + passage + prose(60)), (2, twice)]
+    for k in range(20):  # a stretch of a passage that both texts also have elsewhere first
+        own = prose(60)
+        rows += [(100 + 10 * k, own[20:45] + prose(70) + own + prose(20)), (101 + 10 * k, prose(20) + own[20:45] + prose(90) + own + prose(20))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = substring_dedup.removals(d).collect()
+    assert sorted((r.first_word, r.n_words) for r in got if r.doc_id == 2) == [(80, 60), (230, 60)]
+    assert {(r.doc_id, r.n_words) for r in got if r.doc_id >= 100} == {(101 + 10 * k, 60) for k in range(20)}
+
+
 def test_minima_are_those_of_every_window():
     rng = np.random.default_rng(0)
     v, same = rng.integers(0, 1 << 62, 500).astype(np.uint64), np.repeat([0, 1, 2], [200, 30, 270])
