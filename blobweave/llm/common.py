@@ -7,13 +7,15 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
 #: Text bytes that a Python kernel handles at once. A longer single text is one block of its own.
 BLOCK_BYTES = 1 << 20
-#: Where the session names no shared folder, as in local tests.
-_OWN = f"/tmp/blobweave-{uuid.uuid4().hex[:8]}"
+#: A key with more than this share (inverse) of all rows is heavy. There are fewer heavy keys than this number, so they
+#: can be broadcast, and each is dealt into parts of this share at most.
+HEAVY = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,11 +26,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 class Scratch:
     """Tables written to the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Writing and reading back cuts the lineage, so a lost executor costs only the files' readers.
+    Writing and reading back cuts the lineage, so a lost executor costs only the files' readers. Where the setting is missing,
+    a folder of the warehouse is used, which executors share too.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or _OWN
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
@@ -71,3 +74,17 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
                 start, held = i, 0
             held += int(sizes[i])
         yield batch.slice(start, n - start)
+
+
+def join_split(rows: DataFrame, table: DataFrame, on: str, sizes: DataFrame | None = None) -> DataFrame:
+    """The inner join of rows with a table of one row for each key, without sending a heavy key's rows to one task.
+
+    sizes (on, n): how many rows a key has, as a table that is cheap to read; else they are counted. Heavy keys are
+    dealt by a hash of the row into parts, and the table's row is repeated for each part.
+    """
+    sizes = sizes if sizes is not None else rows.groupBy(on).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.broadcast(sizes.where(F.col("n") * HEAVY > total).select(on, F.ceil(F.col("n") * HEAVY / total).cast("int").alias("_parts")))
+    dealt = rows.join(heavy, on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return dealt.join(table.join(heavy, on, "left").withColumn("_part", parts).drop("_parts"), [on, "_part"]).drop("_part")

@@ -11,18 +11,21 @@ than needed are cut, so that a linked pair has as many more equal ones, and only
 that index them. Candidates are verified exactly.
 
 Equal sets form a class and are one node. Buckets with the same first member, the one with the most companions, are
-taken together. Where that makes a large group, its members are first compared with that one alone, which joins most near
-copies at a cost in proportion to their number. What is still in different components is compared pair by pair, tile
+taken together as a hub. Where that is a large group, its members are first compared with that one alone, which joins most near
+copies at a cost in proportion to their number. Hubs that are still large and in different components hold sets that share
+some contents and differ elsewhere; they are cut by the segments of another hash of the universe, which every linked pair
+meets in too, so unlike sets part. What is left is compared pair by pair, tile
 by tile within tasks, by sketches that miss no linked pair; only what passes leaves the task and is verified with
-the sets themselves. So no link between components is lost.
+the sets themselves. So no link between components is lost. ``pairs`` gives the links themselves.
 
-Shingles and sets are known by 64-bit hashes, so two of n different sets are mistaken with a
-probability of n * n / 2**65.
+Sets are known by 128-bit hashes (64 bits find candidates only), words and shingles by 64-bit hashes: two of the shingles
+of two compared sets are mistaken with a probability of about their number squared / 2**65.
 
 Defined cases: a text without words, empty or null has an empty set and no links: its component is its
 own doc_id; a null doc_id stays null and does not name a component unless its class has no other;
 with fewer words than the shingle's the whole sequence is the only shingle; repeated rows are
-in one class; an empty table gives no rows.
+in one class; an empty table gives no rows; other columns than doc_id and text are not read (``firsts`` returns
+them as they are, whatever their names).
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blocks
+from .common import Scratch, blocks, join_split
 from .components import components
 from .textkit import mix, shingles, words
 
@@ -44,6 +47,8 @@ U64 = np.uint64
 TILE = 128
 #: Sets that share a bucket's first member before they are compared with it alone.
 LARGE = 256
+#: Sets of a hub above which it is cut by another hash, and how often at most.
+CROWD, CUTS = 1024, 2
 #: Segments of a sketch for each unit of the largest difference.
 FINE = 4
 #: Keys of a set that are not too many in any case, as contents less one shingle select better.
@@ -56,9 +61,15 @@ def sets(col: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(shingles(w.hash[a:z], n)) for a, z in zip(w.word_at[:-1], w.word_at[1:], strict=True)]
 
 
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int((mix(np.array([np.add.reduce(mix(s)) + U64(len(s))], U64)) >> U64(1)).astype(np.int64)[0])
+def set_id(s: np.ndarray) -> bytes:
+    """The 16-byte name of a set."""
+    n = U64(len(s))
+    return mix(np.array([np.add.reduce(mix(s)) + n, np.add.reduce(mix(s ^ U64(0xA5A5A5A5A5A5A5A5))) ^ n], U64)).astype(">u8").tobytes()
+
+
+def short_id(name: bytes) -> int:
+    """The first half of a set's name as a signed number."""
+    return int.from_bytes(name[:8], "big", signed=True)
 
 
 class Bands:
@@ -153,25 +164,27 @@ class Bands:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, id): each document's set size and set."""
+    """Rows (doc_id, n_shingles, id, short): each document's set size and set, the latter also by half its name."""
 
     def run(batches):
         for b in blocks(batches):
             got = sets(b.column("text"), n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([set_id(s) for s in got], pa.int64())], names=["doc_id", "n_shingles", "id"])
+            names = [set_id(s) for s in got]
+            cols = [b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array(names, pa.binary()), pa.array([short_id(x) for x in names], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "id", "short"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, id bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, id binary, short bigint")
 
 
 def keyed(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """Rows (key, id). Sets that a task has met already are left out."""
+    """Rows (key, short). Sets that a task has met already are left out."""
 
     def run(batches):
         met: set[int] = set()
         for b in blocks(batches):
             keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in sets(b.column("text"), n):
-                i = set_id(s)
+                i = short_id(set_id(s))
                 if i not in met:
                     if len(met) > 200_000:  # bounds the memory; those met again are merged later
                         met.clear()
@@ -179,19 +192,19 @@ def keyed(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                     k = bands.keys(s)
                     keys.append(k)
                     ids.append(np.full(len(k), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "short"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, id bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, short bigint")
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """The rows whose key more than one set has. Sorted runs are read one after the other; only the first id of a run is held."""
+    """The rows whose key more than one set has. Sorted runs are read one after the other; only the first of a run is held."""
 
     def run(batches):
         last = first = None
         split = False
         for b in batches:
-            key, ids = b.column("key").to_numpy(), b.column("id").to_numpy()
+            key, ids = b.column("key").to_numpy(), b.column("short").to_numpy()
             if not len(key):
                 continue
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1])])
@@ -212,7 +225,7 @@ def shared(keys: DataFrame) -> DataFrame:
             out_id.append(ids[keep])
             split, last = bool(mixed[-1]), key[-1]
             first = head if len(start) == 1 else ids[start[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_id))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_id))], names=["key", "short"])
 
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, keys.schema).distinct()
 
@@ -235,99 +248,145 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = known.select(F.col("id").alias("a"), F.col("items").alias("x")), known.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def links(docs: DataFrame, made: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Rows (node, component) of sets by id, for those with a link to a different set."""
-    bands = Bands(percent)
-    bucket = scratch.save(shared(keyed(docs, n, bands)))
-    needed = scratch.save(bucket.select("id").distinct())
-    one = made.join(needed, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-
-    def items(batches):
-        for b in blocks(batches):
-            own = sets(b.column("text"), n)
-            band = [bands.band(len(x)) for x in own]
-            low = [bands.sketch(x, k - 1).tobytes() if k > 0 else None for x, k in zip(own, band, strict=True)]
-            high = [bands.sketch(x, k).tobytes() if k >= 0 else None for x, k in zip(own, band, strict=True)]
-            cols = [pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "size", "band", "low", "high"])
-
-    # rows that share a doc_id may have different sets, so each row's own set tells which it is; a set may have no doc_id
-    named = docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    texts = named.union(docs.where("doc_id is null").select("text"))
-    made_items = texts.mapInArrow(items, "id bigint, items binary, size bigint, band int, low binary, high binary")
-    known = scratch.save(made_items.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    alone = needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    rest = scratch.save(ranked(bucket, alone))
-    found = scratch.save(with_pivots(rest, known, percent))
-    if found.limit(1).count():
-        rest = scratch.save(ranked(bucket, scratch.save(labelled(needed, components(found, scratch)))))
-    likely = scratch.save(in_tiles(rest, known, bands).distinct())
-    more = scratch.save(verify(likely, known, percent))
-    return labelled(needed, components(found.union(more), scratch))
-
-
-def labelled(needed: DataFrame, linked: DataFrame) -> DataFrame:
-    """Components of all needed ids; one without links is its own."""
-    return needed.join(linked, needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
-
-
-def ranked(bucket: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, id, component, rank, top) of the buckets whose members are in more than one component.
-
-    rank orders members by companions and then by a hash, in one number; top is the bucket's largest.
-    """
-    members = bucket.join(labels, bucket.id == labels.node).select("key", "id", "component")
-    open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    members = members.join(open_keys, "key")
-    rank = F.least(F.sum("size"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64("id"), F.lit(1 << 42))
-    own = members.join(members.groupBy("id").agg(rank.alias("rank")), "id").drop("size")
-    return own.join(own.groupBy("key").agg(F.max("rank").alias("top")), "key").select("key", "id", "component", "rank", "top")
-
-
-def with_pivots(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the first in rank and all that share its buckets, if those are many."""
-    rows = members.select("top", "id", "component").distinct()
-    many = rows.groupBy("top").count().where(F.col("count") > LARGE).select("top")
-    pivots = members.where("rank = top").groupBy("top").agg(F.min("id").alias("pivot"), F.min("component").alias("pivot_component"))
-    tested = rows.join(many, "top").join(pivots, "top").where("component <> pivot_component")
-    return verify(tested.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), known, percent)
-
-
-def in_tiles(members: DataFrame, known: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of sets that share a bucket's first in rank, are in different components and may be linked.
-
-    Buckets with the same first in rank are taken together, as groups of near copies share many buckets.
-    They are cut into tiles of about ``TILE`` sets and each pair of tiles is compared within one task by
-    sketches, which rule out no linked pair; only what is left leaves the task.
-    """
-    rows = members.select(F.col("top").alias("hub"), "id", "component").distinct()
-    tiles = rows.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = rows.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("hub", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, part, tile, size, band = (t[c].to_numpy() for c in ("id", "component", "tile", "size", "band"))
-        low, high = t["low"].to_pylist(), t["high"].to_pylist()
-        crossed = t["i"][0].as_py() != t["j"][0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for group in np.unique(band[band >= 0]):
-            left, right = np.flatnonzero(band == group), np.flatnonzero((band == group) | (band == group + 1))
-            own = np.stack([np.frombuffer(high[k] if band[k] == group else low[k], np.uint8) for k in right])
-            for k in left:
-                equal = (own == np.frombuffer(high[k], np.uint8)).sum(1)
-                ok = (equal >= own.shape[1] - bands.num * (size[right] + size[k]) // bands.den) & (part[right] != part[k])
-                ok &= (band[right] != group) | (ids[right] > ids[k])
-                if crossed:
-                    ok &= tile[right] != tile[k]
-                a.append(np.minimum(ids[right[ok]], ids[k]))
-                b.append(np.maximum(ids[right[ok]], ids[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return spread.join(known.select("id", "size", "band", "low", "high"), "id").groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return join_split(join_split(pairs, x, "a"), y, "b", pairs.groupBy("b").agg(F.count("*").alias("n"))).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+class Candidates:
+    """The sets that share a bucket with a different one: bucket (key, id), needed (id), known (id and the set itself)."""
+
+    def __init__(self, docs: DataFrame, made: DataFrame, scratch: Scratch, n: int, percent: int):
+        self.bands, self.percent, self.scratch = Bands(percent), percent, scratch
+        bands = self.bands
+        names = made.where("n_shingles > 0").select("short", "id").distinct()
+        self.bucket = scratch.save(shared(keyed(docs, n, bands)).join(names, "short").select("key", "id"))
+        self.needed = scratch.save(self.bucket.select("id").distinct())
+        one = made.join(self.needed, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+
+        def items(batches):
+            for b in blocks(batches):
+                own = sets(b.column("text"), n)
+                band = [bands.band(len(x)) for x in own]
+                low = [bands.sketch(x, k - 1).tobytes() if k > 0 else None for x, k in zip(own, band, strict=True)]
+                high = [bands.sketch(x, k).tobytes() if k >= 0 else None for x, k in zip(own, band, strict=True)]
+                cols = [pa.array([set_id(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "size", "band", "low", "high"])
+
+        # rows that share a doc_id may have different sets, so each row's own set tells which it is; a set may have no doc_id
+        named = docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+        texts = named.union(docs.where("doc_id is null").select("text"))
+        made_items = texts.mapInArrow(items, "id binary, items binary, size bigint, band int, low binary, high binary")
+        self.known = scratch.save(made_items.join(self.needed, "id", "left_semi").dropDuplicates(["id"]))
+
+    def links(self) -> DataFrame:
+        """Rows (node, component) of sets by id, for those with a link to a different set."""
+        alone = self.needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
+        rest = self.ranked(self.bucket, alone)
+        found = self.scratch.save(self.with_pivots(rest))
+        if found.limit(1).count():
+            self.scratch.drop(rest)
+            rest = self.ranked(self.bucket, self.scratch.save(self.labelled(components(found, self.scratch))))
+        more = self.scratch.save(verify(self.scratch.save(self.in_tiles(rest)), self.known, self.percent))
+        return self.labelled(components(found.union(more), self.scratch))
+
+    def pairs(self) -> DataFrame:
+        """Rows (a, b), a < b: every two different sets that are linked."""
+        alone = self.needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
+        return verify(self.scratch.save(self.in_tiles(self.ranked(self.bucket, alone))), self.known, self.percent)
+
+    def labelled(self, linked: DataFrame) -> DataFrame:
+        """Components of all needed ids; one without links is its own."""
+        return self.needed.join(linked, self.needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
+
+    def ranked(self, bucket: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows (hub, id, component, first) of the buckets whose members are in more than one component.
+
+        Members are ordered by companions and then by a hash, in one number; hub is the bucket's largest, and first tells
+        whether the row's set is the one that has it.
+        """
+        members = self.scratch.save(bucket.join(labels, bucket.id == labels.node).select("key", "id", "component"))
+        stats = self.scratch.save(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+        members = join_split(members, stats.withColumnRenamed("n", "size"), "key", stats)
+        rank = F.least(F.sum("size"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64("id"), F.lit(1 << 42))
+        own = self.scratch.save(members.join(members.groupBy("id").agg(rank.alias("rank")), "id").drop("size"))
+        top = own.groupBy("key").agg(F.max("rank").alias("hub"))
+        out = join_split(own, top, "key", stats).select("hub", "id", "component", (F.col("rank") == F.col("hub")).alias("first")).distinct()
+        return self.scratch.save(out)
+
+    def with_pivots(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between the first in rank and all that share its buckets, if those are many."""
+        first = F.min(F.when(F.col("first"), F.struct("id", "component")))
+        many = members.groupBy("hub").agg(F.count("*").alias("n"), first.alias("pivot")).where(F.col("n") > LARGE)
+        many = self.scratch.save(many.select("hub", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("pivot_component")))
+        tested = join_split(members, many.drop("n"), "hub", many.select("hub", "n")).where("component <> pivot_component")
+        return verify(self.scratch.save(tested.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()), self.known, self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def cut(self, members: DataFrame) -> DataFrame:
+        """Rows (hub, id, component): hubs of more than ``CROWD`` sets are cut by the segments of another hash."""
+        done = None
+        rows = members.select("hub", "id", "component")
+        for step in range(1, CUTS + 1):
+            sizes = self.scratch.save(rows.groupBy("hub").agg(F.count("*").alias("n")))
+            if not sizes.where(F.col("n") > CROWD).limit(1).count():
+                break
+            small = rows.join(sizes.where(F.col("n") <= CROWD).select("hub"), "hub", "left_semi")
+            done = small if done is None else done.union(small)
+            crowd = sizes.where(F.col("n") > CROWD)
+            large = join_split(rows, crowd.select("hub"), "hub", crowd)
+            rows = self.ranked(self.anew(large, step), large.select(F.col("id").alias("node"), "component").distinct()).select("hub", "id", "component")
+        return rows if done is None else self.scratch.save(done.union(rows))
+
+    def anew(self, large: DataFrame, step: int) -> DataFrame:
+        """Rows (key, id): the sets of each hub by the segments of a hash that step chooses."""
+        bands, salt = self.bands, U64(0x9E3779B97F4A7C15 * step & 0xFFFFFFFFFFFFFFFF)
+
+        def run(batches):
+            for b in batches:
+                for i, hub, items in zip(b.column("id"), b.column("hub").to_pylist(), b.column("items").to_pylist(), strict=True):
+                    k = bands.keys(np.sort(mix(np.frombuffer(items, U64) ^ salt)))
+                    key = mix(k.astype(U64) ^ mix(np.array([hub], np.int64).astype(U64))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.repeat(i, len(key))], names=["key", "id"])
+
+        return large.select("hub", "id").join(self.known.select("id", "items"), "id").mapInArrow(run, "key bigint, id binary").distinct()
+
+    def in_tiles(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets that share a hub, are in different components and may be linked.
+
+        Hubs are cut into tiles of about ``TILE`` sets and each pair of tiles is compared within one task by
+        sketches, which rule out no linked pair; only what is left leaves the task.
+        """
+        bands = self.bands
+        rows = self.cut(members)
+        sizes = self.scratch.save(rows.groupBy("hub").agg(F.count("*").alias("n")))
+        placed = join_split(rows, sizes.select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hub", sizes)
+        placed = placed.withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles")).cast("int"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        spread = spread.select("hub", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
+
+        def compare(t: pa.Table) -> pa.Table:
+            ids, names = t["id"].to_pylist(), {}
+            part = np.array([names.setdefault(c, len(names)) for c in t["component"].to_pylist()])
+            order = np.argsort(np.argsort(np.array(ids, object)))
+            tile, size, band = (t[c].to_numpy() for c in ("tile", "size", "band"))
+            low, high = t["low"].to_pylist(), t["high"].to_pylist()
+            crossed = t["i"][0].as_py() != t["j"][0].as_py()
+            a, b = [], []
+            for group in np.unique(band[band >= 0]):
+                left, right = np.flatnonzero(band == group), np.flatnonzero((band == group) | (band == group + 1))
+                own = np.stack([np.frombuffer(high[k] if band[k] == group else low[k], np.uint8) for k in right])
+                for k in left:
+                    equal = (own == np.frombuffer(high[k], np.uint8)).sum(1)
+                    ok = (equal >= own.shape[1] - bands.num * (size[right] + size[k]) // bands.den) & (part[right] != part[k])
+                    ok &= (band[right] != group) | (order[right] > order[k])
+                    if crossed:
+                        ok &= tile[right] != tile[k]
+                    for x in right[ok]:
+                        p, q = (k, x) if order[k] < order[x] else (x, k)
+                        a.append(ids[p])
+                        b.append(ids[q])
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+        near = spread.join(self.known.select("id", "size", "band", "low", "high"), "id").groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary")
+        return near.distinct()
 
 
 def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -336,14 +395,14 @@ def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     made = scratch.save(classes(docs, n))
     # a class is named by its set; its component by the smallest doc_id in it
-    labels = links(docs, made, scratch, n, percent)
+    labels = Candidates(docs, made, scratch, n, percent).links()
     full = made.where("n_shingles > 0")
     by_class = full.groupBy("id").agg(F.min("doc_id").alias("least"))
     grouped = by_class.join(labels, by_class.id == labels.node, "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = grouped.join(named, "component").select("id", "component_id", "component")
     out = full.join(by_class, "id").select("doc_id", "id", "n_shingles", "component_id", "component")
-    return out.union(made.where("n_shingles = 0").select("doc_id", "id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long")))
+    return out.union(made.where("n_shingles = 0").select("doc_id", "id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary")))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -351,15 +410,23 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return members(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs with each row's set and its size as the last columns, _id and _size."""
+def pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets as rows (a, b), and the members of each set as rows (id, doc_id)."""
+    scratch = Scratch(docs.sparkSession, "pairs")
+    made = scratch.save(classes(docs, n))
+    return Candidates(docs, made, scratch, n, percent).pairs(), made.where("n_shingles > 0").select("id", "doc_id")
+
+
+def with_sets(rows: DataFrame, n: int) -> DataFrame:
+    """rows (_doc, _text, _row) with each row's set and its size, _id and _size, in place of the text."""
 
     def run(batches):
-        for b in blocks(batches):
-            own = sets(b.column("text"), n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())], names=[*b.schema.names, "_id", "_size"])
+        for b in blocks(batches, "_text"):
+            own = sets(b.column("_text"), n)
+            yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_row"), pa.array([set_id(x) for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())], names=["_doc", "_row", "_id", "_size"])
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField("_id", T.LongType()), T.StructField("_size", T.LongType())]))
+    schema = T.StructType([rows.schema["_doc"], rows.schema["_row"]]).add("_id", "binary").add("_size", "long")
+    return rows.select("_doc", "_row", "_text").mapInArrow(run, schema)
 
 
 def firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -370,14 +437,14 @@ def firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "firsts")
     found = scratch.save(members(docs.select("doc_id", "text"), n, percent))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
-    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("best")).select(F.col("best.id").alias("_best"), F.col("best.doc_id").alias("_doc"))
+    best = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.doc_id").alias("_best"))
     many = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.coalesce("component_id", F.lit(-1)) != F.col("doc_id"))).alias("goes")).where("doc_id is not null")
     sure = docs.join(many.where("n > 1 or goes").select("doc_id"), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
     unsure = docs.join(many.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
-    unsure = scratch.save(with_sets(unsure, n))
-    kept = unsure.join(best, (F.col("_id") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").where("_size > 0")
-    kept = kept.groupBy("doc_id", "_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return sure.union(kept).union(unsure.where("_size = 0").select(*docs.columns))
+    unsure = scratch.save(with_sets(unsure.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row")), n))
+    kept = unsure.where("_size > 0").join(best, "_id").where(F.col("_doc").eqNullSafe(F.col("_best")))
+    kept = kept.groupBy("_doc", "_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    return sure.union(kept).union(unsure.where("_size = 0").select("_row.*"))
 
 
 def oracle(n: int, percent: int) -> str:
