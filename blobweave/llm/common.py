@@ -76,15 +76,24 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
         yield batch.slice(start, n - start)
 
 
-def join_split(rows: DataFrame, table: DataFrame, on: str, sizes: DataFrame | None = None) -> DataFrame:
+def join_split(rows: DataFrame, table: DataFrame, on: str | list[str], sizes: DataFrame | None = None) -> DataFrame:
     """The inner join of rows with a table of one row for each key, without sending a heavy key's rows to one task.
 
     sizes (on, n): how many rows a key has, as a table that is cheap to read; else they are counted. Heavy keys are
     dealt by a hash of the row into parts, and the table's row is repeated for each part.
     """
-    sizes = sizes if sizes is not None else rows.groupBy(on).agg(F.count("*").alias("n"))
+    on = [on] if isinstance(on, str) else on
+    sizes = sizes if sizes is not None else rows.groupBy(*on).agg(F.count("*").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.broadcast(sizes.where(F.col("n") * HEAVY > total).select(on, F.ceil(F.col("n") * HEAVY / total).cast("int").alias("_parts")))
+    heavy = F.broadcast(sizes.where(F.col("n") * HEAVY > total).select(*on, F.ceil(F.col("n") * HEAVY / total).cast("int").alias("_parts")))
     dealt = rows.join(heavy, on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))).drop("_parts")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    return dealt.join(table.join(heavy, on, "left").withColumn("_part", parts).drop("_parts"), [on, "_part"]).drop("_part")
+    return dealt.join(table.join(heavy, on, "left").withColumn("_part", parts).drop("_parts"), [*on, "_part"]).drop("_part")
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """rows, left-joined with a table whose key column is ``name``; rows with a null key have no match and are not shuffled."""
+    none = table.schema.fields
+    met = rows.where(F.col(key).isNotNull()).join(table, F.col(key) == F.col(name), "left").drop(name)
+    alone = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in none if f.name != name])
+    return met.union(alone)
