@@ -37,9 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; a document of nothing else goes (operator 8)."""
     ship(spark)
-    cut = substring_dedup.cleaned(docs)
-    rest = (F.size("cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _counted(cut.where(F.coalesce(rest, F.lit(True))).select(*docs.columns))
+    return _counted(substring_dedup.without_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
