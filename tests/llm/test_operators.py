@@ -75,6 +75,24 @@ def test_pii_learns_contexts(spark):
     assert pii.masked(d).columns == d.columns
 
 
+def test_pii_bootstraps_to_a_fixed_point(spark):
+    rows = [(i, f"send the invoice to clerk{i}@mail.example.org today") for i in range(30)]
+    rows += [(100 + i, f"send the invoice to boss{i}@localhost today") for i in range(6)]  # seeds' pattern
+    rows += [(200 + i, f"ring desk boss{i}@localhost later") for i in range(6)]  # a pattern of what was found
+    rows += [(300, "ring desk chief@localhost later"), (301, "chief@localhost and nobody@localhost"), (302, "ring desk list: chief@localhost")]
+    long = "x" * 200 + "@localhost"
+    rows += [(303, f"please send the invoice to {long} today"), (304, "send the invoice to " + "a1@b.org " * 3 + "last@localhost today")]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[100 + i] == "email:20:35" and got[200 + i] == "email:10:25" for i in range(6))
+    assert got[300] == "email:10:25" and got[301] == "email:0:15" and got[302] == "email:16:31"
+    assert got[303] == "email:27:237" and got[304].endswith("email:47:61")
+
+
+def test_pii_masks_tables_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "to a@b.org", "p", 1, 2, "q")], "doc_id bigint, text string, h string, base int, `all` int, _doc_id string")
+    assert pii.masked(d).collect() == [(1, "to <EMAIL>", "p", 1, 2, "q")] and pii.masked(d).columns == d.columns
+
+
 # 2 sentencepiece
 def test_sentencepiece_equals_the_library(spark, sf):
     import sentencepiece
