@@ -4,16 +4,18 @@ Method: each pair of dimensions is coded with four bits. Codebooks and codes min
 score-aware loss that weighs the residual parallel to the vector more than the rest, by coordinate
 descent over subspaces. A query's inner products with all codewords form tables; a scan sums
 table entries by code; the best ``RERANK`` of a block, and those within the scan's usual error of them,
-are scored exactly on the original vectors.
+are scored with 16-bit components, which keeps vectors apart that lie close together and share codes. What may
+still be among the best of all blocks is scored exactly on the original vectors.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors in expectation, chosen by a hash; every vector is
-indexed. Vectors and queries are dealt into blocks of bounded size and each pair of blocks is
-one group, so no task holds more than two blocks.
+indexed, but of equal vectors only as many as one query can be given. Codes and queries are dealt into blocks of bounded
+size and each pair of blocks is one group, so no task holds more than two blocks. Only codes and queries are sent to
+the blocks; originals are joined with the merged candidates by vec_id, those that many queries share in parts.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without a vec_id; rows that repeat a vec_id count
 once, with the smallest vector; ties go to the smaller vec_id; an empty table gives no rows; fewer
-candidates than asked for give all of them.
+candidates than asked for give all of them; other columns than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, join_split
 
 SAMPLE = 6000
 RERANK = 120
 #: Of the root mean square error of an approximate score, for a query of length 1.
 MARGIN = 1.5
-CODE_BLOCK, QUERY_BLOCK = 16384, 2048
+CODE_BLOCK, QUERY_BLOCK = 65536, 8192
+#: Blocks of codes that a smaller table is dealt into, so that all cores work.
+LEAST_BLOCKS = 16
+#: Standard errors of a score of 16-bit components by which a candidate may be behind.
+BEHIND = 5.0
 #: Inner products above this share of the norms count as high; it sets the weight of the parallel residual.
 HIGH = 0.2
 
@@ -143,13 +149,18 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit components and the unit of each row."""
+    unit = np.abs(x).max(1) / 32767
+    return np.rint(x / unit[:, None]).astype(np.int16), unit
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """Rows (query_id, rank, vec_id, score). vectors: vec_id, embedding; is_query: over vec_id."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     sound = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
-    once = sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    table = scratch.save(once.withColumn("row", F.monotonically_increasing_id()))
+    table = scratch.save(sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     lengths = table.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -162,27 +173,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = RERA
     def index(batches):
         for b in batches:
             if len(b):
-                packed = quantiser.pack(quantiser.encode(matrix(b.column("embedding"))))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.tobytes() for p in packed], pa.binary())], names=[*b.schema.names, "code"])
+                v = matrix(b.column("embedding"))
+                packed = quantiser.pack(quantiser.encode(v))
+                fine, unit = rounded(v)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([p.tobytes() for p in fine], pa.binary()), pa.array(unit)], names=["vec_id", "code", "fine", "unit"])
+
+    equal = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
+    few = table.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).select("vec_id", "embedding")
+    indexed = scratch.save(few.mapInArrow(index, "vec_id bigint, code binary, fine binary, unit double"))
+    queries = table.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    code_blocks = max(-(-n // CODE_BLOCK), min(LEAST_BLOCKS, -(-n // 1024)))
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
-    indexed = scratch.save(table.mapInArrow(index, T.StructType([*table.schema.fields, T.StructField("code", T.BinaryType())])))
-    queries = indexed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "row")
-    code_blocks, query_blocks = -(-n // CODE_BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
+    def block(by: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(by, F.lit("block")), F.lit(count))
 
-    def block(count: int) -> Column:
-        return F.pmod(F.xxhash64("row"), F.lit(count))
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
 
-    left = queries.withColumn("qb", block(query_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(code_blocks - 1).cast("long")))).drop("row")
-    right = indexed.withColumn("cb", block(code_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).drop("row")
-    result = "query_id bigint, vec_id bigint, score double"
+    left = queries.withColumn("qb", block("query_id", query_blocks)).withColumn("cb", each(code_blocks))
+    right = indexed.withColumn("cb", block("vec_id", code_blocks)).withColumn("qb", each(query_blocks))
 
     def scan(q: pa.Table, c: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         if len(q) and len(c):
-            c = c.sort_by("vec_id")
-            ids = c["vec_id"].to_numpy()
-            original = matrix(c["embedding"])
+            ids, unit = c["vec_id"].to_numpy(), c["unit"].to_numpy()
             packed = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(len(c), -1).T.copy()
+            fine = np.frombuffer(b"".join(c["fine"].to_pylist()), np.int16).reshape(len(c), -1)
             want = matrix(q["query"])
             norms = np.sqrt((want * want).sum(1))
             for first in range(0, len(q), 64):
@@ -190,13 +207,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = RERA
                     own = q["query_id"][i].as_py()
                     near = likely(quantiser.scan(t, packed), rerank + 1, quantiser.margin * norms[i])
                     near = near[ids[near] != own]
-                    exact = (original[near] * want[i]).sum(1)
-                    top = np.lexsort((ids[near], -exact))[:k]
+                    close = (fine[near] @ want[i]) * unit[near]
+                    slack = BEHIND * norms[i] * unit[near].max(initial=0) / np.sqrt(12)
+                    top = likely(close, k, 2 * slack)
                     found[0].append(np.full(len(top), own))
                     found[1].append(ids[near[top]])
-                    found[2].append(exact[top])
-        return pa.table({"query_id": np.concatenate(found[0]), "vec_id": np.concatenate(found[1]), "score": np.concatenate(found[2])})
+                    found[2].append(close[top])
+                    found[3].append(np.full(len(top), slack))
+        return pa.table({c: np.concatenate(f) for c, f in zip(("query_id", "vec_id", "close", "slack"), found, strict=True)})
+
+    result = "query_id bigint, vec_id bigint, close double, slack double"
+    blocks = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(scan, result)
+    every = Window.partitionBy("query_id")
+    placed = blocks.withColumn("place", F.row_number().over(every.orderBy(F.desc("close"))))
+    last = F.max(F.when(F.col("place") == k, F.col("close"))).over(every)
+    near = placed.withColumn("last", last).withColumn("slack", F.max("slack").over(every)).where(F.col("last").isNull() | (F.col("close") >= F.col("last") - 2 * F.col("slack")))
+    near = scratch.save(near.select("query_id", "vec_id"))
+    scored = join_split(near, table, "vec_id").join(queries, "query_id")
+
+    def exact(batches):
+        for b in batches:
+            if len(b):
+                score = (matrix(b.column("embedding")) * matrix(b.column("query"))).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(scan, result)
+    scored = scored.select("query_id", "vec_id", "embedding", "query").mapInArrow(exact, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -372,6 +372,9 @@ def test_ann_recall_and_scores(spark):
         assert np.allclose([s[i] for _, i, _ in found], [v for _, _, v in found], rtol=1e-12)
         hits += len({i for _, i, _ in found} & set(order))
     assert hits >= 0.95 * 20 * len(got)
+    copies = [(i, x[3].tolist()) for i in range(2000, 2200)] + [(i, v.tolist()) for i, v in enumerate(x[:60])]
+    same = ann.search(spark.createDataFrame([(i, v, "e", 1) for i, v in copies], "vec_id bigint, embedding array<float>, code string, unit int"), F.col("vec_id") == 2190)
+    assert [r.vec_id for r in same.orderBy("rank").collect()] == [3, *range(2000, 2019)]
     few = spark.createDataFrame(rows[:5], "vec_id bigint, embedding array<float>")
     assert ann.search(few, F.col("vec_id") % 20 == 0).count() == 4
     assert ann.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
