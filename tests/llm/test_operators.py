@@ -144,6 +144,17 @@ def test_url_rules_and_verdicts(spark):
     assert url_filters.judge(pages, bad.limit(0), url_filters.RULES).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_url_posterior_decides(spark):
+    hosts = [(i, f"http://h{i % 20}.site{i % 4}.{'co.uk' if i % 2 else 'org'}/x") for i in range(2000)]
+    pages = spark.createDataFrame(hosts + [(None, None)], "page_id bigint, url string").withColumn("bound", F.lit("b")).withColumn("host", F.lit(1))
+    outcomes = spark.createDataFrame([(i, int(i % 20 == 3 and i % 3 > 0 or (i // 20) % 25 == 0)) for i in range(2000)], "page_id bigint, bad int")
+    got = {(r.host, r.verdict) for r in url_filters.judge(pages, outcomes, []).collect()}
+    assert {h for h, v in got if v == "block"} == {"h3.site3.co.uk"}
+    name = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "co.uk", "uk", "", "x.example.org", "notco.uk", "h.notco.uk")], "host string")
+    cut = {r.host: (r.d, r.s) for r in name.select("host", url_filters.last_labels(F.col("host"), url_filters.DOMAIN).alias("d"), url_filters.last_labels(F.col("host"), url_filters.SUFFIX).alias("s")).collect()}
+    assert cut == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "": ("", ""), "x.example.org": ("example.org", "org"), "notco.uk": ("notco.uk", "uk"), "h.notco.uk": ("notco.uk", "uk")}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_equal_sql(spark, sf, name):
     con = duckdb.connect()
