@@ -6,11 +6,13 @@ sample of labelled documents: a line of a poor document that a logistic regressi
 the lines of good ones is taken as boilerplate, all others as content. Viterbi decoding marks the
 lines of every text; the words' share in content lines decides whether it is kept.
 
-Training takes at most ``PER_CLASS`` documents of each class in expectation, chosen by a hash.
+Training takes at most ``PER_CLASS`` documents of each class in expectation, chosen by a hash, and of each at most
+``SAMPLE_LINES`` neighbouring lines from one chosen by a hash on, so what comes to the driver has a bound.
 
 Defined cases: a null text counts as empty: no words, base failed, not kept; a text without a line
 break is one line; a null label is not learned; without both classes in the sample every line
-is content; repeated rows get repeated results.
+is content; repeated rows get repeated results; a null doc_id is kept like others and not learned from; an empty table gives no rows;
+other columns than doc_id, text and those to keep are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blocks
-from .textkit import _BYTE, Words, code_points, grams, hash_runs, runs, words
+from .textkit import _BYTE, Words, code_points, grams, hash_runs, mix, runs, words
 
 PER_CLASS = 1500
+SAMPLE_LINES = 256
 CONTENT_SHARE = 0.5
 #: Symbols that count; fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -38,9 +41,9 @@ _LINE[10] = True
 
 
 def _sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=total[1:])
-    return total[end] - total[start]
+    total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=total[1:], dtype=total.dtype)
+    return (total[end] - total[start]).astype(np.int64)
 
 
 def _again(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +65,7 @@ class Counts:
         w: Words = words(col, lower=False)
         n = len(col)
         self.n_words = np.diff(w.word_at)
-        points = code_points(w.data, np.arange(len(w.data) + 1))
-        self.word_chars = _sums(np.diff(points) > 0, w.text_at[:-1], w.text_at[1:]) - self._blank(w)
+        self.word_chars = np.diff(code_points(w.data, w.text_at)) - self._blank(w)
         self.n_symbols = _sums(_SYMBOL[w.data], w.text_at[:-1], w.text_at[1:])
         text_of = np.repeat(np.arange(n), self.n_words)
         # words in windows of three that the text holds twice or more
@@ -80,7 +82,7 @@ class Counts:
         has = last > first
         start, end, first, last = start[has], end[has], first[has], last[has]
         self.line_text = np.searchsorted(w.text_at, start, "right") - 1
-        line_hash = hash_runs(_BYTE[w.data], start, end)
+        line_hash = hash_runs(w.data, start, end, _BYTE)
         later, _ = _again(self.line_text, line_hash)
         self.n_dup_lines = np.bincount(self.line_text[later], minlength=n)
         self.of = np.searchsorted(self.line_text, np.arange(n + 1))
@@ -209,9 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain
     def run(batches):
         for b in blocks(batches):
             c = Counts(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("poor"), pa.array([c.x[a:z].astype(np.float32).tobytes() for a, z in zip(c.of[:-1], c.of[1:], strict=True)], pa.binary())], names=["poor", "x"])
+            n = np.diff(c.of)
+            first = c.of[:-1] + mix(n.astype(np.uint64)).astype(np.int64) % np.maximum(1, n - SAMPLE_LINES + 1)
+            last = np.minimum(c.of[1:], first + SAMPLE_LINES)
+            yield pa.RecordBatch.from_arrays([b.column("poor"), pa.array([c.x[a:z].astype(np.float32).tobytes() for a, z in zip(first, last, strict=True)], pa.binary())], names=["poor", "x"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", (F.col("quality") == 0).cast("int").alias("poor")).mapInArrow(run, "poor int, x binary").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", (F.col("quality") == 0).cast("int").alias("poor")).mapInArrow(run, "poor int, x binary").toArrow()
     got = sorted((x, p) for x, p in zip(rows["x"].to_pylist(), rows["poor"].to_pylist(), strict=True) if x)
     if not got:
         return Chain()

@@ -20,6 +20,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1 << 10, np.uint64)
+#: Bytes that are hashed at once, which bounds what a long text takes beside itself.
+_AT_ONCE = 1 << 19
 
 
 def _powers(n: int) -> np.ndarray:
@@ -79,24 +81,28 @@ def runs(inside: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each of the non-empty, ordered, disjoint runs."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of table[data[start:end]] for each of the non-empty, ordered, disjoint runs."""
+    out = np.zeros(len(start), np.uint64)
     length = end - start
-    total = int(length.sum())
-    at = np.zeros(len(start), np.int64)
-    np.cumsum(length[:-1], out=at[1:])
-    within = np.arange(total, dtype=np.int64) - np.repeat(at, length)
-    powers = _powers(int(length.max()) + 1)
-    picked = values[np.repeat(start, length) + within]
-    return mix(np.add.reduceat(picked * powers[within], at) + length.astype(np.uint64))
+    before = np.append(0, np.cumsum(length))
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(before, before[first] + _AT_ONCE, "right")) - 1)
+        n = length[first:last]
+        at = before[first:last] - before[first]
+        within = np.arange(before[last] - before[first], dtype=np.int64) - np.repeat(at, n)
+        powers = _powers(int(n.max()) + 1)
+        picked = table[data[np.repeat(start[first:last], n) + within]]
+        out[first:last] = mix(np.add.reduceat(picked * powers[within], at) + n.astype(np.uint64))
+        first = last
+    return out
 
 
 def words(col: pa.Array, lower: bool = True) -> Words:
     data, text_at = raw(col)
     start, end = runs(~_SPACE[data], text_at)
-    h = hash_runs((_LOWER if lower else _BYTE)[data], start, end)
+    h = hash_runs(data, start, end, _LOWER if lower else _BYTE)
     return Words(data, text_at, start, end, h, np.searchsorted(start, text_at))
 
 
@@ -128,6 +134,4 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many code points begin before each byte offset."""
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=total[1:])
-    return total[at]
+    return at - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), at)

@@ -5,12 +5,15 @@ sentences. The weights are fitted by gradient ascent on the documents' likelihoo
 labels of documents are needed, and the sentence scores then locate the offending passages.
 
 Training takes at most ``PER_CLASS`` labelled documents of each class in expectation, chosen by a
-hash. Words are known by 64-bit hashes; the model keeps those that at least ``MIN_DOCUMENTS`` sampled
-documents hold. Every text is scored as a whole.
+hash. Words are known by 64-bit hashes; the model keeps at most ``VOCABULARY`` that at least ``MIN_DOCUMENTS`` sampled
+documents hold and that tell the classes apart. Their counts are a Spark aggregation, and in each step of the fit (by limited-memory
+quasi-Newton steps) tasks sum the gradient over their part of the sample; only weights and
+gradients come to the driver. Every text is scored as a whole.
 
 Defined cases: null and empty texts have no sentence and score 0; a null label is not learned;
 several labels of one document count as toxic if one is; without both classes in the sample
-every score is 0; repeated rows get repeated results.
+every score is 0; repeated rows get repeated results; a null doc_id is not held out and not learned from; an empty table gives no
+rows; other columns than doc_id, text and those to keep are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks
+from .common import Scratch, blocks
 from .textkit import _LOWER, code_points, hash_runs, raw, runs
 
 PER_CLASS = 2000
 MIN_DOCUMENTS = 4
+VOCABULARY = 1 << 15
+#: The logit of a sentence whose words say nothing.
+BIAS = -4.0
+#: Parts of the sample, steps of the fit and past steps that a step looks at.
+PARTS, STEPS, MEMORY = 8, 24, 8
 #: Lengths in bytes of the prefixes that count as words of their own, so that inflected forms share a weight.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Bits of the table that sorts out most unknown words before the search.
@@ -55,11 +63,10 @@ def instances(col: pa.Array) -> Instances:
     data, text_at = raw(col)
     start, end = runs(_LETTER[data], text_at)
     s, e = runs(~_STOP[data], text_at)
-    low = _LOWER[data]
-    word, at = [hash_runs(low, start, end)], [start]
+    word, at = [hash_runs(data, start, end, _LOWER)], [start]
     for n in PREFIXES:
         longer = end - start > n
-        word.append(hash_runs(low, start[longer], start[longer] + n) ^ np.uint64(n))
+        word.append(hash_runs(data, start[longer], start[longer] + n, _LOWER) ^ np.uint64(n))
         at.append(start[longer])
     word, at = np.concatenate(word), np.concatenate(at)
     order = np.argsort(at, kind="stable")
@@ -95,68 +102,117 @@ class Model:
         return np.where(known, np.bincount(where, w, minlength=len(z)) + self.bias, z)
 
 
-def fit_sample(word: np.ndarray, sentence: np.ndarray, of: np.ndarray, y: np.ndarray, rounds: int = 200) -> Model:
-    """word: hashes; sentence: of each word; of: each text's first sentence; y: 0 or 1 for each text."""
-    text = np.searchsorted(of, sentence, "right") - 1
-    pair = np.unique(np.column_stack([text.astype(np.uint64), word]), axis=0)
-    vocabulary, n = np.unique(pair[:, 1], return_counts=True)
-    vocabulary = vocabulary[n >= MIN_DOCUMENTS]
-    if not len(vocabulary) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    at = np.minimum(np.searchsorted(vocabulary, pair[:, 1]), len(vocabulary) - 1)
-    ok = vocabulary[at] == pair[:, 1]
-    bad = y[pair[ok, 0].astype(np.int64)] == 1
-    df1, df0 = (np.bincount(at[ok][m], minlength=len(vocabulary)) for m in (bad, ~bad))
-    w = np.clip(np.log((df1 + 0.5) / (y.sum() + 1)) - np.log((df0 + 0.5) / ((1 - y).sum() + 1)), -3, 5)
-    telling = (df1 + df0 >= MIN_DOCUMENTS) & (np.abs(w) >= 0.7) & ((w < 0) | (df1 >= MIN_DOCUMENTS))
-    vocabulary, w = vocabulary[telling], w[telling] / (1 + len(PREFIXES))  # a word and its prefixes share its weight
-    if not len(vocabulary):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
-    ok = vocabulary[at] == word
-    at, sentence = at[ok], sentence[ok]
-    known = np.bincount(sentence, minlength=of[-1]) > 0
-    owner = np.searchsorted(of, np.arange(of[-1]), "right") - 1
-    bias, seen, seen_b = -4.0, np.full(len(w), 1e-3), 1e-3
-    for _ in range(rounds):
-        z = np.where(known, np.bincount(sentence, w[at], minlength=of[-1]) + bias, -np.inf)
-        p, total = 1 / (1 + np.exp(-np.clip(z, -50, 50))), noisy_or(z, of)
-        total = np.clip(total, 1e-9, 1 - 1e-9)[owner]
-        g = np.where(y[owner] == 1, (1 - total) / total * p, -p) * known
-        grad = np.bincount(at, g[sentence], minlength=len(w)) - 0.05 * w
-        seen += grad * grad
-        w += 0.3 * grad / np.sqrt(seen)
-        seen_b += g.sum() ** 2
-        bias += 0.3 * g.sum() / np.sqrt(seen_b)
-    keep = np.abs(w) > 0.02
-    return Model(vocabulary[keep], w[keep], float(bias))
+def likelihood(w: np.ndarray, word: np.ndarray, sentence: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The log-likelihood of documents and its gradient. w: weights and the bias; word, sentence: of each known word; y: of each text."""
+    n, owner = int(of[-1]), np.repeat(np.arange(len(y)), np.diff(of))
+    known = np.bincount(sentence, minlength=n) > 0
+    z = np.where(known, np.bincount(sentence, w[word], minlength=n) + w[-1], -np.inf)
+    p, total = 1 / (1 + np.exp(-np.clip(z, -50, 50))), np.clip(noisy_or(z, of), 1e-9, 1 - 1e-9)
+    g = np.where(y[owner] == 1, ((1 - total) / total)[owner] * p, -p) * known
+    grad = np.bincount(word, g[sentence], minlength=len(w) - 1)
+    return np.concatenate([[np.where(y == 1, np.log(total), np.log1p(-total)).sum()], grad, [g.sum()]])
+
+
+def climb(w: np.ndarray, value, steps: int = STEPS, decay: float = 0.05) -> np.ndarray:
+    """Maximises value(w) less decay / 2 times the squared distance of the weights from 0 and of the bias from ``BIAS``, by
+    limited-memory quasi-Newton steps; value gives the gradient behind the value."""
+
+    def at(w):
+        got = value(w)
+        own = np.append(w[:-1], w[-1] - BIAS)
+        return got[0] - decay / 2 * own @ own, got[1:] - decay * own
+
+    f, g = at(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    left = steps
+    while left > 0:
+        d, back = g.copy(), []
+        for s, t in reversed(moves):
+            back.append((s @ d) / (s @ t))
+            d -= back[-1] * t
+        d *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, np.abs(g).max())
+        for (s, t), a in zip(moves, reversed(back), strict=True):
+            d += s * (a - (t @ d) / (s @ t))
+        length = 1.0
+        while left > 0:
+            left -= 1
+            new = w + length * d
+            f2, g2 = at(new)
+            if f2 >= f + 1e-4 * length * (g @ d):
+                break
+            length /= 3
+        else:
+            break
+        s, t = new - w, g - g2
+        if s @ t > 1e-10:
+            moves = [*moves, (s, t)][-MEMORY:]
+        gain, w, f, g = f2 - f, new, f2, g2
+        if gain < 1e-4 * max(1.0, abs(f)):
+            break
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, only such as may be learned from."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, n.get(1, 0)))).otherwise(min(1.0, per_class / max(1, n.get(0, 0))))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1 << 20)) < share * (1 << 20)
-    sample = known.where(draw).limit(4 * per_class)  # the limit proves the bound of what is broadcast
+    drawn = known.where(draw).limit(4 * per_class).select("doc_id", F.col("toxic").cast("int").alias("toxic"))  # the limit proves the bound of what is broadcast
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
+    sample = scratch.save(sample.repartition(PARTS, F.xxhash64("text")))
 
-    def run(batches):
+    def held(batches):
         for b in blocks(batches):
             x = instances(b.column("text"))
-            cut = np.searchsorted(x.sentence, x.of)
-            rows = [(x.word[a:z].tobytes(), (x.sentence[a:z] - first).astype(np.int32).tobytes(), int(last - first)) for a, z, first, last in zip(cut[:-1], cut[1:], x.of[:-1], x.of[1:], strict=True)]
-            word, sentence, count = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(word, pa.binary()), pa.array(sentence, pa.binary()), pa.array(count, pa.int64())], names=["toxic", "word", "sentence", "n"])
-
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).where("text is not null").mapInArrow(run, "toxic int, word binary, sentence binary, n bigint").toArrow()
+            text = np.searchsorted(x.of, x.sentence, "right") - 1
+            pair = np.unique(np.column_stack([text.astype(np.uint64), x.word]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].view(np.int64)), b.column("toxic").take(pa.array(pair[:, 0].astype(np.int64)))], names=["word", "toxic"])
+
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(size) < 2:
+        return none
+    counts = sample.mapInArrow(held, "word bigint, toxic int").groupBy("word").agg(F.sum("toxic").alias("df1"), F.sum(1 - F.col("toxic")).alias("df0"))
+    w = F.log((F.col("df1") + 0.5) / (size[1] + 1)) - F.log((F.col("df0") + 0.5) / (size[0] + 1))
+    telling = counts.withColumn("w", F.greatest(F.lit(-3.0), F.least(F.lit(5.0), w))).where((F.col("df1") + F.col("df0") >= MIN_DOCUMENTS) & (F.abs("w") >= 0.7) & ((F.col("w") < 0) | (F.col("df1") >= MIN_DOCUMENTS)))
+    rows = telling.orderBy(F.desc(F.abs("w") * F.sqrt(F.col("df1") + F.col("df0"))), "word").limit(VOCABULARY).select("word", "w").toArrow()
     if not len(rows):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    order = sorted(range(len(rows)), key=lambda i: (rows["word"][i].as_py(), rows["toxic"][i].as_py()))
-    rows = rows.take(pa.array(order))
-    of = np.append(0, np.cumsum(rows["n"].to_numpy()))
-    word = np.frombuffer(b"".join(rows["word"].to_pylist()), np.uint64)
-    sentence = np.concatenate([np.frombuffer(s, np.int32).astype(np.int64) + first for s, first in zip(rows["sentence"].to_pylist(), of[:-1], strict=True)])
-    return fit_sample(word, sentence, of, rows["toxic"].to_numpy())
+        return none
+    vocabulary = rows["word"].to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, w = vocabulary[order], rows["w"].to_numpy()[order] / (1 + len(PREFIXES))  # a word and its prefixes share its weight
+
+    def encode(batches):
+        for b in blocks(batches):
+            x = instances(b.column("text"))
+            at = np.minimum(np.searchsorted(vocabulary, x.word), len(vocabulary) - 1)
+            ok = vocabulary[at] == x.word
+            at, sentence = at[ok].astype(np.int32), x.sentence[ok]
+            cut = np.searchsorted(sentence, x.of)
+            word = [at[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+            place = [(sentence[a:z] - first).astype(np.int32).tobytes() for a, z, first in zip(cut[:-1], cut[1:], x.of[:-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(word, pa.binary()), pa.array(place, pa.binary()), pa.array(np.diff(x.of), pa.int64())], names=["toxic", "word", "sentence", "n"])
+
+    encoded = scratch.save(sample.mapInArrow(encode, "toxic int, word binary, sentence binary, n bigint"))
+
+    def value(w: np.ndarray) -> np.ndarray:
+        def part(batches):
+            total = np.zeros(len(w) + 1)
+            for b in batches:
+                if len(b):
+                    of = np.append(0, np.cumsum(b.column("n").to_numpy()))
+                    word, place = ([np.frombuffer(x, np.int32) for x in b.column(c).to_pylist()] for c in ("word", "sentence"))
+                    sentence = np.concatenate(place).astype(np.int64) + np.repeat(of[:-1], [len(x) for x in place])
+                    total += likelihood(w, np.concatenate(word), sentence, of, b.column("toxic").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        return np.sum([np.frombuffer(r["sums"]) for r in encoded.mapInArrow(part, "sums binary").collect()], axis=0)  # one row for each part
+
+    w = climb(np.append(w, BIAS), value)
+    keep = np.abs(w[:-1]) > 0.02
+    return Model(vocabulary[keep], w[:-1][keep], float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), blame: float = 0.5) -> DataFrame:
@@ -185,4 +241,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), bl
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
