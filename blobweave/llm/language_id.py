@@ -1,6 +1,6 @@
 """Language identification in two steps: the family, then linear support vector machines within it.
 
-Features are hashed byte trigrams (with the word's edges) of the lower-cased text, as shares of all
+Features are hashed byte trigrams (with the word's edges) of the text with A-Z lower-cased, as shares of all
 trigrams. First one-versus-rest linear support vector machines tell language families apart. Within the
 chosen family one machine for every pair of its languages votes for one of the two; most votes win, and
 of equal ones the largest sum of margins. Margins become a score through a logistic of the lead over the
@@ -11,7 +11,9 @@ chosen by a hash, as vectors of ``DIMENSIONS`` shares. Every text is predicted,
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a null language is
 not learned; a family of one language needs no second step; without any training text every text
-is ``und``; repeated rows get repeated results.
+is ``und``; repeated rows get repeated results; rows without a doc_id are predicted like others and not learned from; an empty
+table gives no rows; other columns than doc_id, text, lang and those to keep are not read. ``recognised`` gives all columns
+back, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,11 @@ FAMILIES = {
     "turkic": "tr az kk uz ky tk",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = regex.compile(r"\p{L}")
-_FOLD = np.arange(256, dtype=np.uint64)
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Trigrams that are looked at at once, which bounds what a long text takes beside itself.
+_AT_ONCE = 1 << 20
+_FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[*range(0x09, 0x0E)]] = 0x20
 _FOLD[[*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20  # signs and digits as white space
@@ -53,16 +57,19 @@ def family(lang: str) -> str:
 
 def slots(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The feature slot of each trigram and where each text's trigrams begin."""
-    c = _FOLD[data]
-    if len(c) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(text_at), np.int64)
-    key = c[:-2] | c[1:-1] << np.uint64(8) | c[2:] << np.uint64(16)
-    keep = (c[1:-1] != 0x20) | (c[:-2] != 0x20)
-    size = np.diff(text_at)
-    left = np.repeat(text_at[1:], size)[: len(key)]
-    keep &= np.arange(3, len(key) + 3) <= left  # within one text
-    at = np.flatnonzero(keep)
-    return (mix(key[at]) & np.uint64(DIMENSIONS - 1)).astype(np.int64), np.searchsorted(at, text_at)
+    ends = np.zeros(len(data) + 2, bool)
+    stop = text_at[1:][np.diff(text_at) > 0]
+    ends[stop - 1] = True  # a trigram that begins at a text's last or last but one byte leaves it
+    ends[np.maximum(stop - 2, 0)] = True
+    out, at = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)]
+    for first in range(0, max(0, len(data) - 2), _AT_ONCE):
+        c = _FOLD[data[first : first + _AT_ONCE + 2]]
+        keep = ((c[1:-1] != 0x20) | (c[:-2] != 0x20)) & ~ends[first : first + len(c) - 2]
+        where = np.flatnonzero(keep)
+        key = (c[where] | c[where + 1] << np.uint32(8) | c[where + 2] << np.uint32(16)).astype(np.uint64)
+        out.append((mix(key) & np.uint64(DIMENSIONS - 1)).astype(np.int16))
+        at.append(where + first)
+    return np.concatenate(out), np.searchsorted(np.concatenate(at), text_at)
 
 
 def shares(col: pa.Array) -> np.ndarray:
@@ -123,6 +130,10 @@ class Model:
         slot, begin = slots(data, text_at)
         n, size = len(text_at) - 1, np.maximum(np.diff(begin), 1)
         out = np.empty((n, len(self.table)))
+        if len(slot) > 4 * _AT_ONCE:  # a long text: counts of its slots
+            for i in range(n):
+                out[i] = self.scale / size[i] * (self.table[:, :-1] @ np.bincount(slot[begin[i] : begin[i + 1]], minlength=DIMENSIONS)) + self.table[:, -1]
+            return out
         total = np.zeros(len(slot) + 1)
         for j, w in enumerate(self.table):
             np.cumsum(w[:-1][slot], dtype=np.float64, out=total[1:])
@@ -173,15 +184,17 @@ class Model:
                 names[mine] = np.array(langs, object)[best]
                 score[mine] *= lead
                 at += len(machine)
-        for i, t in enumerate(col.to_pylist()):
-            if not t or not _LETTER.search(t):
+        data, text_at = raw(col)
+        plain = np.searchsorted(np.flatnonzero(_ASCII_LETTER[data]), text_at)
+        for i in np.flatnonzero(plain[1:] == plain[:-1]):  # no ASCII letter
+            if not any(map(str.isalpha, col[int(i)].as_py() or "")):
                 names[i], score[i] = UNKNOWN, 0.0
         return names.tolist(), score
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang. Only a bounded number of feature vectors comes to the driver."""
-    known = docs.where(learn & F.col("lang").isNotNull())
+    known = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # as many rows as languages
     share = F.lit(0.0)
     for lang, n in counts.items():
@@ -212,3 +225,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *[F.col("text").alias("_text")] * ("text" not in keep)).mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose text has a language with a score of at least ``least``."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    got = predict(rows, model, tuple(names))
+    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
