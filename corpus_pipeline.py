@@ -2,6 +2,10 @@
 
 Each stage takes the documents that the one before kept and returns the documents' columns, the
 last one the packed pieces. Stages 1 to 4 keep every document that they have nothing against.
+
+Defined cases: a null text, or one without a letter, has no language and goes in the first stage; repeated rows are one
+document after the second, also without a doc_id; other columns go along unchanged, whatever their names, but n_chars, which is
+counted anew where a stage cuts texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     model = language_id.fit(docs, F.coalesce(learn, F.lit(False)))
-    got = language_id.predict(docs, model, tuple(docs.columns))
-    return got.where((F.col("lang_pred") != language_id.UNKNOWN) & (got.score >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.recognised(docs, model, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
