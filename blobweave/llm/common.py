@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch as Scratch
 from ..session import ship
 
 #: Text bytes that a Python kernel handles at once. A longer single text is one block of its own.
@@ -23,42 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-class Scratch:
-    """Tables written to the folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Writing and reading back cuts the lineage, so a lost executor costs only the files' readers. Where the setting is missing,
-    a folder of the warehouse is used, which executors share too.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.n}"
-        self.n += 1
-        conf, setting = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = conf.get(setting)
-        conf.set(setting, "true")  # the table replaces the shuffle files that led to it
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(setting, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no plan reads any more."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
     """Slices Arrow batches so that ``column`` holds at most ``limit`` bytes in a slice, or one row."""
     for batch in batches:
