@@ -38,16 +38,22 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
         yield batch.slice(start, n - start)
 
 
-def join_split(rows: DataFrame, table: DataFrame, on: str | list[str], sizes: DataFrame | None = None) -> DataFrame:
+def heavy_keys(sizes: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The keys of sizes (on, n) with more than a share of total rows, and how many parts each is dealt into."""
+    return sizes.where(F.col("n") * HEAVY > total).select(*on, F.ceil(F.col("n") * HEAVY / F.lit(max(1, total))).cast("int").alias("_parts"))
+
+
+def join_split(rows: DataFrame, table: DataFrame, on: str | list[str], sizes: DataFrame | None = None, heavy: DataFrame | None = None) -> DataFrame:
     """The inner join of rows with a table of one row for each key, without sending a heavy key's rows to one task.
 
-    sizes (on, n): how many rows a key has, as a table that is cheap to read; else they are counted. Heavy keys are
-    dealt by a hash of the row into parts, and the table's row is repeated for each part.
+    sizes (on, n): how many rows a key has, as a table that is cheap to read; else they are counted, unless the heavy keys are given.
+    Heavy keys are dealt by a hash of the row into parts, and the table's row is repeated for each part.
     """
     on = [on] if isinstance(on, str) else on
-    sizes = sizes if sizes is not None else rows.groupBy(*on).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.broadcast(sizes.where(F.col("n") * HEAVY > total).select(*on, F.ceil(F.col("n") * HEAVY / total).cast("int").alias("_parts")))
+    if heavy is None:
+        sizes = sizes if sizes is not None else rows.groupBy(*on).agg(F.count("*").alias("n"))
+        heavy = heavy_keys(sizes, on, sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    heavy = F.broadcast(heavy)
     dealt = rows.join(heavy, on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))).drop("_parts")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     return dealt.join(table.join(heavy, on, "left").withColumn("_part", parts).drop("_parts"), [*on, "_part"]).drop("_part")

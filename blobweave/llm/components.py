@@ -1,4 +1,4 @@
-"""Connected components of an edge table by stars: each node's larger neighbours move to its smallest one.
+"""Connected components of an edge table by spreading minima with pointer jumping.
 
 Defined cases: edges with a null end and loops are left out, repeated edges count once; an empty table gives no rows.
 """
@@ -8,37 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_split
-
-
-def _neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of rows (u, v) for each u its number n and m, the smallest of u and its v."""
-    return scratch.save(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-
-
-def _beside(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """rows (u, v) with the m of u."""
-    return join_split(rows, least.select("u", "m"), "u", least.select("u", "n"))
+from .common import Scratch, heavy_keys, join_split
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (node, component) for the nodes of edges (a, b): the smallest node that each reaches.
 
-    A round links every larger neighbour of a node with the smallest of its neighbourhood, and then every smaller
-    neighbour, until each node has one edge and that leads to the smallest. What a round leaves is
-    written to the shared folder, so the plan does not grow.
+    Each round takes the least of a node's label, its neighbours' labels and its label's label; it ends when no label changes.
+    Labels are written to the shared folder, so the plan does not grow. Nodes with many neighbours, and labels that
+    many nodes have, are joined in parts.
     """
-    star = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    heavy = scratch.save(heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"], both.count()))
+    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    nodes = labels.count()
     while True:
-        both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        around = _neighbours(both, scratch)
-        if not around.where("m < u and n > 1").limit(1).count():
-            return around.select(F.col("u").alias("node"), F.col("m").alias("component"))
-        large = scratch.save(_beside(both, around).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        scratch.drop(around)
-        scratch.drop(star)
-        least = _neighbours(large, scratch)
-        small = _beside(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        star = scratch.save(small.where("u <> v").distinct())
-        scratch.drop(large)
-        scratch.drop(least)
+        crowd = heavy_keys(labels.groupBy("component").agg(F.count("*").alias("n")), ["component"], nodes)
+        jump = join_split(labels, labels.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", heavy=crowd)
+        near = join_split(both, labels.withColumnRenamed("node", "b"), "b", heavy=heavy).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        new = jump.join(near, "node").select("node", F.least("component", "further", "near").alias("new"), "component")
+        saved = scratch.save(new)
+        scratch.drop(labels)
+        labels = saved.select("node", F.col("new").alias("component"))
+        if not saved.where("new <> component").limit(1).count():
+            return labels

@@ -248,7 +248,7 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = known.select(F.col("id").alias("a"), F.col("items").alias("x")), known.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return join_split(join_split(pairs, x, "a"), y, "b", pairs.groupBy("b").agg(F.count("*").alias("n"))).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return join_split(pairs.join(x, "a"), y, "b", pairs.groupBy("b").agg(F.count("*").alias("n"))).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 class Candidates:
@@ -279,31 +279,33 @@ class Candidates:
 
     def links(self) -> DataFrame:
         """Rows (node, component) of sets by id, for those with a link to a different set."""
-        alone = self.needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
-        rest = self.ranked(self.bucket, alone)
+        rest = self.ranked(self.bucket.withColumn("component", F.col("id")))
         found = self.scratch.save(self.with_pivots(rest))
         if found.limit(1).count():
             self.scratch.drop(rest)
-            rest = self.ranked(self.bucket, self.scratch.save(self.labelled(components(found, self.scratch))))
+            rest = self.ranked(self.scratch.save(self.among(self.bucket, self.labelled(components(found, self.scratch)))))
         more = self.scratch.save(verify(self.scratch.save(self.in_tiles(rest)), self.known, self.percent))
         return self.labelled(components(found.union(more), self.scratch))
 
     def pairs(self) -> DataFrame:
         """Rows (a, b), a < b: every two different sets that are linked."""
-        alone = self.needed.select(F.col("id").alias("node"), F.col("id").alias("component"))
-        return verify(self.scratch.save(self.in_tiles(self.ranked(self.bucket, alone))), self.known, self.percent)
+        return verify(self.scratch.save(self.in_tiles(self.ranked(self.bucket.withColumn("component", F.col("id"))))), self.known, self.percent)
 
     def labelled(self, linked: DataFrame) -> DataFrame:
         """Components of all needed ids; one without links is its own."""
         return self.needed.join(linked, self.needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
 
-    def ranked(self, bucket: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows (hub, id, component, first) of the buckets whose members are in more than one component.
+    @staticmethod
+    def among(bucket: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows (key, id, component) of a bucket table by labels (node, component)."""
+        return bucket.join(labels, bucket.id == labels.node).select("key", "id", "component")
+
+    def ranked(self, members: DataFrame) -> DataFrame:
+        """Rows (hub, id, component, first) of the buckets of members (key, id, component) whose members are in more than one component.
 
         Members are ordered by companions and then by a hash, in one number; hub is the bucket's largest, and first tells
         whether the row's set is the one that has it.
         """
-        members = self.scratch.save(bucket.join(labels, bucket.id == labels.node).select("key", "id", "component"))
         stats = self.scratch.save(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
         members = join_split(members, stats.withColumnRenamed("n", "size"), "key", stats)
         rank = F.least(F.sum("size"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64("id"), F.lit(1 << 42))
@@ -332,7 +334,8 @@ class Candidates:
             done = small if done is None else done.union(small)
             crowd = sizes.where(F.col("n") > CROWD)
             large = join_split(rows, crowd.select("hub"), "hub", crowd)
-            rows = self.ranked(self.anew(large, step), large.select(F.col("id").alias("node"), "component").distinct()).select("hub", "id", "component")
+            large = self.scratch.save(large)
+            rows = self.ranked(self.scratch.save(self.among(self.anew(large, step), large.select(F.col("id").alias("node"), "component").distinct()))).select("hub", "id", "component")
         return rows if done is None else self.scratch.save(done.union(rows))
 
     def anew(self, large: DataFrame, step: int) -> DataFrame:

@@ -551,3 +551,22 @@ def test_words_follow_the_definition():
     assert np.diff(w.word_at).tolist() == [len(x) for x in want]
     assert [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end)] == [x for ws in want for x in ws]
     assert w.hash[-1] == w.hash[-2] and len(set(w.hash.tolist())) == len(w.hash) - 2
+
+
+def test_crowded_hubs_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", 64)
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(40)]  # a passage that unlike texts share
+    rows = []
+    for k in range(250):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        rows.append((k, " ".join(common + own)))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join([*common, *own[:-1], "end"])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(d, 3, 90).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    links, members = jaccard_join.pairs(d, 3, 90)
+    name = {r.id: r.doc_id for r in members.collect()}
+    assert {tuple(sorted((name[r.a], name[r.b]))) for r in links.collect()} == {(k, 1000 + k) for k in range(0, 250, 10)}
