@@ -47,8 +47,8 @@ U64 = np.uint64
 TILE = 128
 #: Sets that share a bucket's first member before they are compared with it alone.
 LARGE = 256
-#: Sets of a hub above which it is cut by another hash, and how often at most.
-CROWD, CUTS = 1024, 2
+#: Sets of a hub outside its largest component above which it is cut by another hash, and how often at most.
+CROWD, CUTS = 16384, 2
 #: Segments of a sketch for each unit of the largest difference.
 FINE = 4
 #: Keys of a set that are not too many in any case, as contents less one shingle select better.
@@ -252,15 +252,18 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 class Candidates:
-    """The sets that share a bucket with a different one: bucket (key, id), needed (id), known (id and the set itself)."""
+    """The sets that share a bucket with a different one: needed (short, id), hubs (hub, id, first) and known (id and the set itself)."""
 
     def __init__(self, docs: DataFrame, made: DataFrame, scratch: Scratch, n: int, percent: int):
         self.bands, self.percent, self.scratch = Bands(percent), percent, scratch
         bands = self.bands
+        bucket = scratch.save(shared(keyed(docs, n, bands)))
         names = made.where("n_shingles > 0").select("short", "id").distinct()
-        self.bucket = scratch.save(shared(keyed(docs, n, bands)).join(names, "short").select("key", "id"))
-        self.needed = scratch.save(self.bucket.select("id").distinct())
-        one = made.join(self.needed, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        self.needed = scratch.save(names.join(bucket.select("short").distinct(), "short"))
+        self.hubs = scratch.save(self.ranked(bucket, "short").join(self.needed, "short").select("hub", "id", "first"))
+        scratch.drop(bucket)
+        ids = self.needed.select("id")
+        one = made.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
 
         def items(batches):
             for b in blocks(batches):
@@ -275,68 +278,71 @@ class Candidates:
         named = docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
         texts = named.union(docs.where("doc_id is null").select("text"))
         made_items = texts.mapInArrow(items, "id binary, items binary, size bigint, band int, low binary, high binary")
-        self.known = scratch.save(made_items.join(self.needed, "id", "left_semi").dropDuplicates(["id"]))
+        self.known = scratch.save(made_items.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
     def links(self) -> DataFrame:
         """Rows (node, component) of sets by id, for those with a link to a different set."""
-        rest = self.ranked(self.bucket.withColumn("component", F.col("id")))
-        found = self.scratch.save(self.with_pivots(rest))
-        if found.limit(1).count():
-            self.scratch.drop(rest)
-            rest = self.ranked(self.scratch.save(self.among(self.bucket, self.labelled(components(found, self.scratch)))))
-        more = self.scratch.save(verify(self.scratch.save(self.in_tiles(rest)), self.known, self.percent))
+        found = self.scratch.save(self.with_pivots())
+        labels = self.scratch.save(self.labelled(components(found, self.scratch)))
+        rest = self.hubs.join(labels, self.hubs.id == labels.node).select("hub", "id", "component")
+        more = self.scratch.save(verify(self.scratch.save(self.in_tiles(self.scratch.save(rest))), self.known, self.percent))
         return self.labelled(components(found.union(more), self.scratch))
 
     def pairs(self) -> DataFrame:
         """Rows (a, b), a < b: every two different sets that are linked."""
-        return verify(self.scratch.save(self.in_tiles(self.ranked(self.bucket.withColumn("component", F.col("id"))))), self.known, self.percent)
+        alone = self.hubs.select("hub", "id", F.col("id").alias("component"))
+        return verify(self.scratch.save(self.in_tiles(alone)), self.known, self.percent)
 
     def labelled(self, linked: DataFrame) -> DataFrame:
         """Components of all needed ids; one without links is its own."""
         return self.needed.join(linked, self.needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
 
-    @staticmethod
-    def among(bucket: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows (key, id, component) of a bucket table by labels (node, component)."""
-        return bucket.join(labels, bucket.id == labels.node).select("key", "id", "component")
-
-    def ranked(self, members: DataFrame) -> DataFrame:
-        """Rows (hub, id, component, first) of the buckets of members (key, id, component) whose members are in more than one component.
+    def ranked(self, bucket: DataFrame, member: str) -> DataFrame:
+        """Rows (hub, member, first) of a table of buckets (key, member).
 
         Members are ordered by companions and then by a hash, in one number; hub is the bucket's largest, and first tells
-        whether the row's set is the one that has it.
+        whether the row is the member that has it.
         """
-        stats = self.scratch.save(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
-        members = join_split(members, stats.withColumnRenamed("n", "size"), "key", stats)
-        rank = F.least(F.sum("size"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64("id"), F.lit(1 << 42))
-        own = self.scratch.save(members.join(members.groupBy("id").agg(rank.alias("rank")), "id").drop("size"))
+        stats = self.scratch.save(bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        sized = join_split(bucket, stats.withColumnRenamed("n", "size"), "key", stats)
+        rank = F.least(F.sum("size"), F.lit((1 << 20) - 1)) * F.lit(1 << 42) + F.pmod(F.xxhash64(member), F.lit(1 << 42))
+        own = self.scratch.save(bucket.join(sized.groupBy(member).agg(rank.alias("rank")), member))
         top = own.groupBy("key").agg(F.max("rank").alias("hub"))
-        out = join_split(own, top, "key", stats).select("hub", "id", "component", (F.col("rank") == F.col("hub")).alias("first")).distinct()
-        return self.scratch.save(out)
+        out = self.scratch.save(join_split(own, top, "key", stats).select("hub", member, (F.col("rank") == F.col("hub")).alias("first")).distinct())
+        self.scratch.drop(own)
+        return out
 
-    def with_pivots(self, members: DataFrame) -> DataFrame:
+    def with_pivots(self) -> DataFrame:
         """Links (a, b) between the first in rank and all that share its buckets, if those are many."""
-        first = F.min(F.when(F.col("first"), F.struct("id", "component")))
-        many = members.groupBy("hub").agg(F.count("*").alias("n"), first.alias("pivot")).where(F.col("n") > LARGE)
-        many = self.scratch.save(many.select("hub", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("pivot_component")))
-        tested = join_split(members, many.drop("n"), "hub", many.select("hub", "n")).where("component <> pivot_component")
-        return verify(self.scratch.save(tested.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()), self.known, self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def cut(self, members: DataFrame) -> DataFrame:
-        """Rows (hub, id, component): hubs of more than ``CROWD`` sets are cut by the segments of another hash."""
-        done = None
-        rows = members.select("hub", "id", "component")
-        for step in range(1, CUTS + 1):
-            sizes = self.scratch.save(rows.groupBy("hub").agg(F.count("*").alias("n")))
-            if not sizes.where(F.col("n") > CROWD).limit(1).count():
+        many = self.hubs.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.when(F.col("first"), F.col("id"))).alias("b")).where(F.col("n") > LARGE)
+        many = self.scratch.save(many)
+        tested = join_split(self.hubs, many.select("hub", "b"), "hub", many.select("hub", "n")).where("id <> b")
+        return verify(self.scratch.save(tested.select(F.col("id").alias("a"), "b").distinct()), self.known, self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def parts(self, rows: DataFrame) -> DataFrame:
+        """Rows (hub, n, most, comps) of hubs with more than one component: members, those of the largest component, and the components
+        that fill tiles of their own, with the number of tiles."""
+        each = rows.groupBy("hub", "component").agg(F.count("*").alias("n"))
+        tiles = F.when(F.col("n") >= TILE, F.struct("component", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+        small = F.coalesce(F.sum(F.when(F.col("n") < TILE, F.col("n"))), F.lit(0)).alias("small")
+        got = each.groupBy("hub").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("different"), small, F.collect_list(tiles).alias("comps"))
+        return self.scratch.save(got.where("different > 1").drop("different"))
+
+    def cut(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows (hub, id, component) and their parts, with crowded hubs cut by the segments of another hash."""
+        done = done_parts = None
+        for step in range(CUTS + 1):
+            parts = self.parts(rows)
+            crowd = parts.where(F.col("n") - F.col("most") > CROWD)
+            if step == CUTS or not crowd.limit(1).count():
                 break
-            small = rows.join(sizes.where(F.col("n") <= CROWD).select("hub"), "hub", "left_semi")
-            done = small if done is None else done.union(small)
-            crowd = sizes.where(F.col("n") > CROWD)
-            large = join_split(rows, crowd.select("hub"), "hub", crowd)
-            large = self.scratch.save(large)
-            rows = self.ranked(self.scratch.save(self.among(self.anew(large, step), large.select(F.col("id").alias("node"), "component").distinct()))).select("hub", "id", "component")
-        return rows if done is None else self.scratch.save(done.union(rows))
+            small = parts.where(F.col("n") - F.col("most") <= CROWD)
+            kept = rows.join(small.select("hub"), "hub", "left_semi")
+            done, done_parts = (kept, small) if done is None else (done.union(kept), done_parts.union(small))
+            large = self.scratch.save(join_split(rows, crowd.select("hub"), "hub", crowd.select("hub", "n")))
+            again = self.ranked(self.scratch.save(self.anew(large, step + 1)), "id")
+            rows = self.scratch.save(again.join(large.select("id", "component").distinct(), "id").select("hub", "id", "component"))
+        return (rows, parts) if done is None else (self.scratch.save(done.union(rows)), self.scratch.save(done_parts.union(parts)))
 
     def anew(self, large: DataFrame, step: int) -> DataFrame:
         """Rows (key, id): the sets of each hub by the segments of a hash that step chooses."""
@@ -354,15 +360,25 @@ class Candidates:
     def in_tiles(self, members: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets that share a hub, are in different components and may be linked.
 
-        Hubs are cut into tiles of about ``TILE`` sets and each pair of tiles is compared within one task by
-        sketches, which rule out no linked pair; only what is left leaves the task.
+        Hubs are cut into tiles of about ``TILE`` sets; a component that fills tiles has its own, which are not compared with each
+        other. Each pair of tiles is compared within one task by sketches, which rule out no linked pair; only what is left
+        leaves the task.
         """
         bands = self.bands
-        rows = self.cut(members)
-        sizes = self.scratch.save(rows.groupBy("hub").agg(F.count("*").alias("n")))
-        placed = join_split(rows, sizes.select("hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hub", sizes)
-        placed = placed.withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles")).cast("int"))
-        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows, parts = self.cut(members)
+        pool = F.ceil(F.col("small") / TILE).cast("int")
+        placed = join_split(rows, parts.select("hub", pool.alias("pool"), "comps"), "hub", parts.select("hub", "n"))
+        mine = F.filter("comps", lambda c: c["component"] == F.col("component"))
+        placed = placed.withColumn("own", F.coalesce(F.try_element_at(mine, F.lit(1))["tiles"], F.lit(0)))
+        none = F.lit(None).cast("binary")
+
+        def tiles(owner, count):
+            return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda k: F.xxhash64(owner, k))
+
+        others = F.flatten(F.transform(F.filter("comps", lambda c: c["component"] != F.col("component")), lambda c: tiles(c["component"], c["tiles"])))
+        place = F.pmod(F.xxhash64("id", F.lit("tile")), F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("pool"))).cast("int")
+        placed = placed.withColumn("tile", F.xxhash64(F.when(F.col("own") > 0, F.col("component")), place))
+        spread = placed.withColumn("other", F.explode(F.concat(F.coalesce(tiles(none, F.col("pool")), F.array().cast("array<bigint>")), others)))
         spread = spread.select("hub", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
 
         def compare(t: pa.Table) -> pa.Table:
