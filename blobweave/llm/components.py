@@ -19,6 +19,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     many nodes have, are joined in parts.
     """
     both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    if not both.limit(1).count():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     heavy = scratch.save(heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"], both.count()))
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     nodes = labels.count()
