@@ -570,3 +570,106 @@ def test_crowded_hubs_are_cut(spark, monkeypatch):
     links, members = jaccard_join.pairs(d, 3, 90)
     name = {r.id: r.doc_id for r in members.collect()}
     assert {tuple(sorted((name[r.a], name[r.b]))) for r in links.collect()} == {(k, 1000 + k) for k in range(0, 250, 10)}
+
+
+# cases from outside: repeats that are none, repeats behind a shorter quote, names that clash, null ids, texts beyond a block
+def test_substring_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 10**7, n)]
+
+    rows = {}
+    for k in range(30):  # two runs of 35 words, each from another document: no run of 50 repeats
+        a, b = prose(35), prose(35)
+        rows[10 * k], rows[10 * k + 1] = prose(60) + a + prose(40), prose(30) + b + prose(70)
+        rows[10 * k + 2] = prose(50) + a + b + prose(50)
+    for k in range(30, 60):  # 52 shared words, of which an earlier document has 49
+        p = prose(52)
+        rows[10 * k], rows[10 * k + 1], rows[10 * k + 2] = prose(80) + p[:49] + prose(50), prose(40) + p + prose(60), prose(70) + p + prose(20)
+    for k in range(60, 70):  # copies of copies, a passage twice in a text, and a long common run
+        p, q = prose(130), prose(50)
+        rows[10 * k], rows[10 * k + 1], rows[10 * k + 2] = prose(20) + p + prose(9), p[40:] + q + prose(30) + q, prose(5) + q + p[:100]
+    first = {}
+    for i, w in sorted(rows.items()):
+        for at in range(len(w) - 49):
+            first.setdefault(tuple(w[at : at + 50]), i)
+    want = {(i, at + x) for i, w in rows.items() for at in range(len(w) - 49) if first[tuple(w[at : at + 50])] < i for x in range(50)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id bigint, text string")
+    got = substring_dedup.removals(d).collect()
+    assert {(r.doc_id, at) for r in got for at in range(r.first_word, r.last_word)} == want
+    assert not any(r.doc_id < 300 for r in got) and {r.doc_id for r in got if r.doc_id < 600} == {10 * k + 2 for k in range(30, 60)}
+
+
+def test_near_copies_are_measured_by_jaccard():
+    rng = np.random.default_rng(2)
+    size = 2 * substring_dedup.REACH + 5
+    a = rng.integers(0, 1 << 62, (40, size)).astype(np.uint64)
+    b = a.copy()
+    for i in range(40):  # changed words, from none to many
+        b[i, rng.choice(np.r_[:48, 53:size], i // 4, replace=False)] += np.uint64(1)  # not in the shingle that lines the two up
+    left, right = substring_dedup.matches(a, b, 5, 0.8)
+    for i in range(40):
+        if right[i] - left[i] >= 50:
+            p, q = ({tuple(r[k : k + 5]) for k in range(left[i], right[i] - 4)} for r in (a[i], b[i]))
+            assert len(p & q) >= 0.8 * len(p | q)
+    assert (right - left >= 50)[:8].all()
+
+
+CLASH = {"toxic": 1, "quality": 0, "score": 0.5, "lang_pred": "x", "predicted": 1, "cut": "c", "_found": 1, "h": 2, "base": "b", "all": "a", "key": 3, "id": "i", "kept": "k", "share": 1.0, "held_out": "n", "n_words": 1, "component_id": 4, "rank": 5, "_text": "t", "_doc": 9, "url": "u", "host": "h"}
+
+
+def clashing(spark, sf, n=60):
+    d = docs(spark, sf).limit(n).select("doc_id", "text", "lang", "source", "n_chars")
+    d = d.union(spark.createDataFrame([(None, None, None, None, None), (None, "no name but words here", "en", "s", 1), (7_000_001, LONG * 2, None, None, None)], d.schema))
+    return d.withColumns({k: F.lit(v) for k, v in CLASH.items()})
+
+
+def test_operators_with_clashing_columns(spark, sf):
+    d, labels = clashing(spark, sf), spark.read.parquet(f"{sf}/labels.parquet").withColumn("text", F.lit("no"))
+    n = d.count()
+    assert toxicity.score(d, toxicity.fit(d, labels)).count() == n
+    assert quality_rules.judge(d, quality_rules.fit(d, labels)).count() == n
+    assert language_id.predict(d, language_id.fit(d, F.lit(True))).count() == n
+    assert jaccard_join.join(d, 3, 90).count() == n and pii.digest(d).count() == n
+    assert sentencepiece_codec.encode(d, registry.tokenizer("piece_bpe_32k.model"), digests=True).count() == n
+    assert packing.pack(d, registry.tokenizer("word_bpe_49k.json")).select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
+    assert substring_dedup.cleaned(d).columns == [c for c in d.columns if c != "cut"] + ["cut"]
+    assert substring_dedup.removals(d).columns[0] == "doc_id"
+
+
+def test_long_texts_in_pieces_equal_short_ones():
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(400_000))
+    assert len(text.encode()) > 1 << 21
+    col = pa.array(["x y", text, "", "z"])
+    w = textkit.words(col)
+    plain = text.split()
+    at = rng.integers(0, len(plain), 50)
+    one = textkit.words(pa.array([" ".join(plain[i] for i in at)]))
+    assert (w.hash[2 + at] == one.hash).all() and np.diff(w.word_at).tolist() == [2, len(plain), 0, 1]
+    slot, begin = language_id.slots(*textkit.raw(col))
+    data = text.encode()
+    few, _ = language_id.slots(*textkit.raw(pa.array([text[:5000]])))
+    assert (slot[begin[1] : begin[1] + len(few)] == few).all() and begin[-1] == len(slot)
+    assert textkit.code_points(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist() == [0, len(text)]
+
+
+def test_character_map_equals_the_library():
+    import io
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    # a model of single characters with the library's own compiled map: nothing is learned
+    text = "ﬁne Ａ１ ½ ㈱ é é 　x ① ﷺ ~  y ​z ... …"
+    normal = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc") if hasattr(sentencepiece, "SentencePieceNormalizer") else None
+    if normal is None:
+        pytest.skip("the library has no normaliser of its own")
+    proto = pb.ModelProto()
+    proto.ParseFromString(normal.serialized_model_proto())
+    m = sentencepiece_codec.CharacterMap(proto.normalizer_spec.precompiled_charsmap)
+    got, source = m.apply(text)
+    spec = normal.Normalize(text)
+    assert got.split() == spec.replace("▁", " ").split()
+    assert len(source) == len(got.encode()) + 1 and (np.diff(source) >= 0).all() and io

@@ -38,3 +38,18 @@ def test_near_duplicates_from_four_fifths_up(spark, sf):
     copy = [f"x{i}" if i in (30, 75, 120) else w for i, w in enumerate(words)]  # 131 of 161 shingles: 0.81
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, "another text of a few words")], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [1, 3]
+
+
+def test_stages_with_clashing_names_and_odd_rows(spark, sf):
+    from pyspark.sql import functions as F
+
+    names = {"score": 0.5, "lang_pred": "x", "cut": "c", "_found": 1, "h": 2, "base": "b", "all": "a", "id": 7, "_id": 8, "_row": "r", "component": 3, "_c0": 4, "_doc": 5, "_text": "t"}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    docs = docs.union(spark.createDataFrame([(None, "the words of a text and of it", "en", "s", 1), (None, None, None, None, None)], docs.schema)).withColumns({k: F.lit(v) for k, v in names.items()})
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, sf).cache()
+        assert after.columns == docs.columns and 0 < after.count() <= before.count(), name
+        assert after.where(" or ".join(f"`{k}` <> '{v}'" for k, v in names.items())).count() == 0
+        before = after
+    assert corpus_pipeline.packed(spark, before, sf).count() > 0
