@@ -45,8 +45,8 @@ from .textkit import mix, shingles, words
 U64 = np.uint64
 #: Sets in a tile: some hundred bytes each, so one task compares a usual hub as a whole and nothing is sent twice.
 TILE = 2048
-#: Sets that share a bucket's first member before they are compared with it alone.
-LARGE = 256
+#: Sets of a hub above which they are compared with its first member alone before any other pair.
+LARGE = 8
 #: Sets of a hub outside its largest component above which it is cut by another hash, and how often at most.
 CROWD, CUTS = 16384, 2
 #: Segments of a sketch for each unit of the largest difference.
