@@ -275,7 +275,8 @@ class Candidates:
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "size", "band", "low", "high"])
 
         # rows that share a doc_id may have different sets, so each row's own set tells which it is; a set may have no doc_id
-        named = docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+        # (merged at every size: a list that is broadcast while it is short would hide what a long one costs)
+        named = docs.join(one.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
         texts = named.union(docs.where("doc_id is null").select("text"))
         made_items = texts.mapInArrow(items, "id binary, items binary, size bigint, band int, low binary, high binary")
         self.known = scratch.save(made_items.join(ids, "id", "left_semi").dropDuplicates(["id"]))
@@ -458,8 +459,8 @@ def firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
     best = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.doc_id").alias("_best"))
     many = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.coalesce("component_id", F.lit(-1)) != F.col("doc_id"))).alias("goes")).where("doc_id is not null")
-    sure = docs.join(many.where("n > 1 or goes").select("doc_id"), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
-    unsure = docs.join(many.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    sure = docs.join(many.where("n > 1 or goes").select("doc_id").hint("merge"), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
+    unsure = docs.join(many.where("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
     unsure = scratch.save(with_sets(unsure.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row")), n))
     kept = unsure.where("_size > 0").join(best, "_id").where(F.col("_doc").eqNullSafe(F.col("_best")))
     kept = kept.groupBy("_doc", "_id").agg(F.min("_row").alias("_row")).select("_row.*")
