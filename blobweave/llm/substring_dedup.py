@@ -11,10 +11,12 @@ block is missed with a probability of about (1 - s) ** bands, and a longer passa
 
 Places whose key a second document has are looked at closely. First, every block whose least shingles are such places, in
 every band and with each side that lies inside, is named by 96 bits of its words, and a block that a document with a smaller doc_id holds too is a repeat: no equal block is lost, whichever
-document a bucket has first. Second, places that lie in no equal block are compared with the first place of their
-bucket, and, where no block was named, of the narrower buckets of the shingle with all words of half a block on one side: the words around both places
-are lined up, the match is extended, and the exact Jaccard similarity of its word shingles is computed. A match
-counts if it has at least ``BLOCK`` words itself and the wanted similarity.
+document a bucket has first. Second, a place that lies in no equal block is compared with every place that an earlier document has in
+its bucket, each text once however many documents have it: the words around both places are lined up, the match is extended on both
+sides over unequal shingles and over up to ``SHIFT`` words put in or taken out, and the exact Jaccard similarity of its word shingles is
+computed. A match counts if it has at least ``BLOCK`` words itself and the wanted similarity; if the longest extension lacks it, the longest part around
+the places that has it counts. Buckets are compared tile by tile, so a crowded one is spread over tasks and bounded in memory; an index of
+its texts' shingles leaves out pairs that share fewer than a match does.
 
 Blocks and matches, each verified against one document, are what goes from the later document (by doc_id); each passage
 keeps its first copy. What overlaps or touches makes one run. Removals are clustered by the components of all documents
@@ -49,6 +51,12 @@ SIDE = 10
 REACH = 48
 #: Unequal shingles in a row that a match may bridge.
 BRIDGE = 10
+#: Words that one of two lined-up texts may have more than the other by the end of a match.
+SHIFT = 6
+#: Places of a bucket that are compared with each other at once.
+TILE = 4096
+#: Pairs of places that are lined up at once.
+_PAIRS = 2048
 
 
 def bands_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
@@ -137,13 +145,11 @@ def anchors(docs: DataFrame, bands: int, block: int, n: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, places: DataFrame, bands: int, block: int, n: int) -> DataFrame:
-    """Rows (h, g, kind, doc_id, digest, pos): names of the word sequences around places (doc_id, digest, places).
+    """Rows (h, g, doc_id, digest, pos): names of the blocks of words around places (doc_id, digest, places).
 
-    Kind 0: each block of words that may stand in another text, by its first word: in every band the key of its least shingle with each
-    side that lies inside must be one of the places. 1 and 2: the shingle of a place in no such block with half a block before or after
-    it, by the shingle's first word. Each sequence of a text is named once, however many places it has.
+    A block is named by its first word if it may stand in another text: in every band the key of its least shingle with each
+    side that lies inside must be one of the places. Each block is named once, however many places it has.
     """
-    half = -(-(block - n) // 2)
 
     def run(batches):
         for b in blocks(batches):
@@ -165,26 +171,13 @@ def windows(docs: DataFrame, places: DataFrame, bands: int, block: int, n: int)
                 before, after = (shared[word[pick]] >> U64(2 * band + k) & U64(1) > 0 for k in (0, 1))
                 good = (before | (into < SIDE)) & (after | (into + n + SIDE > block))
                 ok = good if ok is None else ok & good
-            whole = word[first[ok]]
-            count = np.zeros(len(w.hash) + 2, np.int64)
-            count[whole + 1] = 1
-            count = np.cumsum(count)
-            at = np.unique(at)
-            at = at[count[at + 1] == count[np.maximum(at - (block - n), 0)]]
-            text = np.searchsorted(w.word_at, at, "right") - 1
-            before, after = at[at - half >= w.word_at[text]], at[at + n + half <= w.word_at[text + 1]]
-            size = half + n
-            h = [rolling(w.hash, k, 1) for k in (block, size)]
-            g = [rolling(mix(w.hash + U64(1)), k, 3) for k in (block, size)]
-            pos = np.concatenate([whole, before, after])
-            kind = np.repeat(np.arange(3), [len(whole), len(before), len(after)])
-            start = np.concatenate([before - half, after])
-            name, more = (np.concatenate([x[0][whole], x[1][start]]) for x in (h, g))
+            pos = word[first[ok]]
+            name, more = rolling(w.hash, block, 1)[pos], rolling(mix(w.hash + U64(1)), block, 3)[pos]
             of = np.searchsorted(w.word_at, pos, "right") - 1
-            cols = [pa.array(name.view(np.int64)), pa.array((more >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(kind.astype(np.int8)), pa.array(ids[of].astype(np.int64)), pa.array(digest[of].astype(np.int64)), pa.array((pos - w.word_at[of]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "kind", "doc_id", "digest", "pos"])
+            cols = [pa.array(name.view(np.int64)), pa.array((more >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[of].astype(np.int64)), pa.array(digest[of].astype(np.int64)), pa.array((pos - w.word_at[of]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "doc_id", "digest", "pos"])
 
-    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, "h bigint, g int, kind tinyint, doc_id bigint, digest bigint, pos int")
+    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, "h bigint, g int, doc_id bigint, digest bigint, pos int")
 
 
 def contexts(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
@@ -221,49 +214,240 @@ def contexts(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
     return rows.dropDuplicates(["doc_id", "digest", "pos"])
 
 
-def matches(a: np.ndarray, b: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """First and last matched word (exclusive) of lined-up word rows; 0, 0 where they are not similar."""
-    count, size = a.shape
-    equal = a == b
-    hit = np.ones((count, size - n + 1), bool)
+def _rows_of_shingles(h: np.ndarray, n: int) -> np.ndarray:
+    m = h.shape[1] - n + 1
+    out = np.full((len(h), m), n, U64)
     for k in range(n):
-        hit &= equal[:, k : k + size - n + 1]
+        out = mix(out * U64(0xD6E8FEB86659FD93) + h[:, k : k + m])
+    return out
+
+
+def _different(rows: np.ndarray) -> np.ndarray:
+    """How many different values each row has; the largest value stands for none."""
+    rows = np.sort(rows, axis=1)
+    return 1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1) - (rows[:, -1] == ~U64(0))
+
+
+def matches(a: np.ndarray, b: np.ndarray, n: int, similarity: float, block: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """First and last matched word (exclusive) in a of lined-up word rows; 0, 0 where they are not similar. Matches of fewer words
+    than ``block`` are not measured."""
+    return _lined_up(_rows_of_shingles(a, n), _rows_of_shingles(b, n), n, similarity, block)
+
+
+def _lined_up(p: np.ndarray, q: np.ndarray, n: int, similarity: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """``matches`` of rows of shingles."""
+    count, m = p.shape
     mid = REACH
+    rows = np.arange(count)
+    hit, turn = p == q, np.zeros((count, m), np.int8)
+    own = hit.copy()
+    for d in sorted((k for k in range(-SHIFT, SHIFT + 1) if k), key=abs):  # the least shift first
+        into = slice(max(0, -d), m - max(0, d))
+        more = (p[:, into] == q[:, into.start + d : into.stop + d]) & ~hit[:, into]
+        if more.any():
+            hit[:, into] |= more
+            turn[:, into][more] = d
     ends = []
-    for steps in (range(mid - 1, -1, -1), range(mid + 1, size - n + 1)):
-        reach, gap, alive = np.full(count, mid), np.zeros(count, np.int64), hit[:, mid].copy()
+    for steps in (range(mid - 1, -1, -1), range(mid + 1, m)):
+        reach, gap, alive = np.full(count, mid), np.zeros(count, np.int64), own[:, mid].copy()
         for i in steps:
             gap = np.where(hit[:, i], 0, gap + 1)
             alive &= gap <= BRIDGE
             reach = np.where(alive & hit[:, i], i, reach)
         ends.append(reach)
     left, right = ends[0], ends[1] + 1
-    total = np.zeros((count, size - n + 2), np.int64)
-    np.cumsum(hit, axis=1, out=total[:, 1:])
-    rows = np.arange(count)
+    total = np.zeros((count, m + 1), np.int64)
+    np.cumsum(own, axis=1, out=total[:, 1:])
     matched = total[rows, right] - total[rows, left]
-    left[~hit[:, mid]] = right[~hit[:, mid]] = 0
-    for i in np.flatnonzero((matched < right - left) & hit[:, mid]):
-        p, q = ({r[j : j + n].tobytes() for j in range(left[i], right[i])} for r in (a[i], b[i]))
-        if len(p & q) < similarity * len(p | q):  # only the equal stretch around the place
-            miss = np.flatnonzero(~hit[i])
-            left[i] = miss[miss < mid].max(initial=-1) + 1
-            right[i] = miss[miss > mid].min(initial=size - n + 1)
+    left[~own[:, mid]] = right[~own[:, mid]] = 0
+    todo = np.flatnonzero((matched < right - left) & own[:, mid] & (right - left + n - 1 >= block))
+    place = np.arange(m)
+    x = np.where((place >= left[todo, None]) & (place < right[todo, None]), p[todo], ~U64(0))
+    low, high = left[todo] + turn[todo, left[todo]], right[todo] + turn[todo, right[todo] - 1]
+    y = np.where((place >= low[:, None]) & (place < high[:, None]), q[todo], ~U64(0))
+    either = _different(np.concatenate([x, y], axis=1)) if len(todo) else np.zeros(0, np.int64)
+    both = _different(x) + _different(y) - either if len(todo) else either
+    for i in todo[both < similarity * either]:  # the longest part that is similar, at least the equal stretch around the place
+        on = np.append(hit[i], False)
+        begins = [k for k in range(left[i], mid + 1) if on[k] and (k == left[i] or not on[k - 1] or turn[i, k] != turn[i, k - 1])]
+        stops = [k + 1 for k in range(mid, right[i]) if on[k] and (not on[k + 1] or turn[i, k] != turn[i, k + 1])]
+        miss = np.flatnonzero(~own[i])
+        best = (miss[miss < mid].max(initial=-1) + 1, miss[miss > mid].min(initial=m))
+        for s, e in sorted(((s, e) for s in begins for e in stops if e - s + n - 1 >= max(block, best[1] - best[0] + n)), key=lambda w: w[0] - w[1]):
+            u, v = set(p[i, s:e].tolist()), set(q[i, s + turn[i, s] : e + turn[i, e - 1]].tolist())
+            if len(u & v) >= similarity * len(u | v):
+                best = (s, e)
+                break
+        left[i], right[i] = best
     return left, np.where(right > left, right + n - 1, 0)
 
 
+def _spanning(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links (x, y) make a forest that reaches what all do."""
+    root: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    keep = np.zeros(len(x), bool)
+    for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a], keep[i] = b, True
+    return keep
+
+
+def _fewest(shingles: np.ndarray, block: int, n: int, similarity: float) -> int:
+    """How many of a row's different shingles any match around its middle shares: the wanted share of those that a block has."""
+    width = block - n + 1
+    least_of = width
+    if len(np.unique(shingles)) < len(shingles):
+        least_of = min(len(np.unique(shingles[k : k + width])) for k in range(max(0, REACH - width + 1), min(REACH, len(shingles) - width) + 1))
+    return math.ceil(similarity * least_of - 1e-9)
+
+
+def _hub(doc: np.ndarray, last: np.ndarray, shingles: np.ndarray | None, fewest):
+    """Pairs (later, earlier) of a tile of a bucket by row number, some thousands at a time: rows whose ``doc`` is below another one's ``last``.
+
+    With shingles (one row for each place) pairs that share fewer of them than a match does are left out; an index of the shingles counts them.
+    """
+    order = np.argsort(doc, kind="stable")
+    before = np.searchsorted(doc[order], last)  # rows of smaller doc_ids come first
+    if shingles is not None:
+        flat = shingles.ravel()
+        by = np.argsort(flat, kind="stable")
+        flat, of = flat[by], by // shingles.shape[1]
+    xs, ys, held = [], [], 0
+    for x in np.flatnonzero(last >= 0):
+        if shingles is None:
+            y = order[: before[x]]
+        else:
+            own = np.unique(shingles[x])
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            y = np.flatnonzero((np.bincount(of[at], minlength=len(doc)) >= fewest(shingles[x])) & (doc < last[x]))
+        for at in range(0, len(y), _PAIRS):
+            part = y[at : at + _PAIRS]
+            xs.append(np.full(len(part), x))
+            ys.append(part)
+            held += len(part)
+            if held >= _PAIRS:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
+    if held:
+        yield np.concatenate(xs), np.concatenate(ys)
+
+
+_MATCH = "doc_id bigint, digest bigint, kept bigint, first bigint, last bigint"
+
+
+def compared(members: DataFrame, around: DataFrame, scratch: Scratch, block: int, n: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, digest, kept, first, last): matches of the open places of each bucket with all earlier ones.
+
+    members: key, doc_id, digest, pos, open; around: doc_id, digest, pos, words. Of the matches of a large bucket, for each
+    stretch of a text the one with the smallest kept and those links that hold a component together are given: the others change neither runs nor components.
+    """
+    sizes = scratch.save(members.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("n > 1"))
+    dealt = join_split(members, sizes, "key", sizes.select("key", "n")).withColumn("tile", F.pmod(F.xxhash64("digest", "pos"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+    rows = dealt.select("key", "i", "j", "tile", "doc_id", "digest", "pos", "open").join(around, ["doc_id", "digest", "pos"])
+    columns = ["key", "i", "j", "tile", "doc_id", "digest", "pos", "open", "words"]
+    rows = rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        names = ["doc_id", "digest", "kept", "first", "last"]
+
+        def measured(c, h, x, y):
+            left, right = _lined_up(h[x], h[y], n, similarity, block)
+            ok = right - left >= block
+            x, y, left, right = x[ok], y[ok], left[ok], right[ok]
+            return np.stack([c["doc_id"][x], c["digest"][x], c["doc_id"][y], c["pos"][x] - REACH + left, c["pos"][x] - REACH + right], axis=1)
+
+        def fewer(found):
+            order = np.lexsort((found[:, 2], found[:, 4], found[:, 3], found[:, 1], found[:, 0]))
+            found = found[order]
+            fresh = np.ones(len(found), bool)
+            fresh[1:] = (found[1:, [0, 1, 3, 4]] != found[:-1, [0, 1, 3, 4]]).any(axis=1)
+            return found[fresh | _spanning(found[:, 0], found[:, 2])]
+
+        def crowd(c, h):
+            """Matches of one large group; places whose words around are all equal, as in lists of repeated lines, are compared once."""
+            rank = np.unique(c["doc_id"], return_inverse=True)[1]
+            _, rep, of = np.unique(h.view(f"V{h.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+            doc, last = np.full(len(rep), len(rank)), np.full(len(rep), -1)
+            np.minimum.at(doc, of, rank)
+            opened = np.flatnonzero(c["open"] > 0)
+            np.maximum.at(last, of[opened], rank[opened])
+            least_id = np.unique(c["doc_id"])[doc]
+            opened = opened[np.argsort(of[opened], kind="stable")]
+            frames = _rows_of_shingles(h[rep], n)
+            found = np.zeros((0, 5), np.int64)
+            for x, y in _hub(doc, last, frames, lambda row: _fewest(row, block, n, similarity)):
+                left, right = _lined_up(frames[x], frames[y], n, similarity, block)
+                ok = right - left >= block
+                x, y, left, right = x[ok], y[ok], left[ok], right[ok]
+                low, high = np.searchsorted(of[opened], x, "left"), np.searchsorted(of[opened], x, "right")
+                pair = np.repeat(np.arange(len(x)), high - low)  # each open place with the words of x
+                row = opened[np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]), high - low) + np.arange(len(pair))] if len(pair) else np.zeros(0, np.int64)
+                later = doc[y[pair]] < rank[row]
+                pair, row = pair[later], row[later]
+                pos = c["pos"][row] - REACH
+                found = np.concatenate([found, np.stack([c["doc_id"][row], c["digest"][row], least_id[y[pair]], pos + left[pair], pos + right[pair]], axis=1)])
+                if len(found) > 1 << 16:
+                    found = fewer(found)
+            return fewer(found) if len(found) else found
+
+        def work(b):
+            """Whole groups of rows."""
+            c = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in columns[:-1]}
+            h = np.frombuffer(b"".join(b.column("words").to_pylist()), U64).reshape(len(b), -1)
+            grams_of = _rows_of_shingles(h, n)
+            change = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)) + 1
+            ranked = np.unique(c["doc_id"], return_inverse=True)[1]
+            xs, ys, held, out = [], [], 0, []
+            for first, last in zip([0, *change.tolist()], [*change.tolist(), len(b)], strict=True):
+                own = {k: v[first:last] for k, v in c.items()}
+                if last - first > 16:
+                    out.append(crowd(own, h[first:last]))
+                    continue
+                for x, y in _hub(ranked[first:last], np.where(own["open"] > 0, ranked[first:last], -1), None, None):
+                    xs.append(x + first)
+                    ys.append(y + first)
+                    held += len(x)
+                if held >= _PAIRS:
+                    out.append(measured(c, grams_of, np.concatenate(xs), np.concatenate(ys)))
+                    xs, ys, held = [], [], 0
+            if held:
+                out.append(measured(c, grams_of, np.concatenate(xs), np.concatenate(ys)))
+            found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(5)], names=names)
+
+        waiting: list = []  # rows of the group that the next batch may go on with
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([*waiting, batch])
+            group = [table.column(k).combine_chunks().to_numpy() for k in ("key", "i", "j")]
+            begin = int(np.flatnonzero(np.logical_or.reduce([g != g[-1] for g in group])).max(initial=-1)) + 1
+            for b in table.slice(0, begin).combine_chunks().to_batches():
+                yield work(b)
+            waiting = table.slice(begin).combine_chunks().to_batches()
+        for b in waiting:
+            yield work(b)
+
+    return rows.mapInArrow(run, _MATCH)
+
+
 def _later(rows: DataFrame, key: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """rows of keys that a document with a smaller doc_id has too, with that as ``kept``; and the keys' sizes."""
     stats = scratch.save(rows.groupBy(*key).agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("kept < high").drop("high"))
     return join_split(rows, stats.drop("n"), key, stats.select(*key, "n")), stats.select(*key, "n")
 
 
-def _pairs(met: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
-    """Rows (doc_id, digest, pos, kept, kept_digest, kept_pos): each later row of a key beside the key's first place."""
-    first = met.where("doc_id = kept").groupBy(*key).agg(F.min(F.struct("digest", "pos")).alias("f")).select(*key, F.col("f.digest").alias("kept_digest"), F.col("f.pos").alias("kept_pos"))
-    return join_split(met.where("doc_id > kept"), first, key, sizes).select("doc_id", "digest", "pos", "kept", "kept_digest", "kept_pos")
-
-
 def repeats(docs: DataFrame, scratch: Scratch, block: int = BLOCK, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Rows (doc_id, digest, kept, first, last): what each text repeats of one earlier document, in words; last is exclusive."""
     if block - n > REACH:
@@ -273,41 +457,28 @@ def repeats(docs: DataFrame, scratch: Scratch, block: int = BLOCK, n: int = SHIN
     met, sizes = _later(found, ["key"], scratch)
     met = scratch.save(met)
     scratch.drop(found)
-    wide = _pairs(met.withColumn("pos", F.expr("cast(place div 256 as int)")), ["key"], sizes)
     places = met.groupBy("doc_id", "digest").agg(F.collect_set("place").alias("places"))
     named = scratch.save(windows(docs, places, bands, block, n))
-    again, sizes = _later(named, ["h", "g", "kind"], scratch)
-    again = scratch.save(again)
-    scratch.drop(named)
+    again, _ = _later(named, ["h", "g"], scratch)
     # neighbouring blocks of one kept document make one stretch (first and last block)
     at = F.array_sort(F.collect_set("pos"))
     begins = F.filter("at", lambda a, i: (i == 0) | (F.try_element_at(F.col("at"), i) < a - 1))
     ends = F.filter("at", lambda a, i: F.coalesce(F.try_element_at(F.col("at"), i + 2) > a + 1, F.lit(True)))
-    whole = again.where("kind = 0 and doc_id > kept").groupBy("doc_id", "digest", "kept").agg(at.alias("at"))
+    whole = again.where("doc_id > kept").groupBy("doc_id", "digest", "kept").agg(at.alias("at"))
     whole = scratch.save(whole.select("doc_id", "digest", "kept", F.arrays_zip(begins.alias("first"), ends.alias("last")).alias("stretches")))
-    narrow = _pairs(again.where("kind > 0"), ["h", "g", "kind"], sizes.where("kind > 0"))
-    # near copies: only places that no equal block holds
+    scratch.drop(named)
+    # near copies: places that no equal block holds against all earlier ones of their buckets
     equal = whole.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("stretches")).alias("stretches"))
-    left = wide.union(narrow).distinct().join(equal, ["doc_id", "digest"], "left")
+    placed = met.withColumn("pos", F.expr("cast(place div 256 as int)")).drop("place")
     covered = F.exists("stretches", lambda s: (s["first"] <= F.col("pos")) & (s["last"] >= F.col("pos") - (block - n)))
-    pairs = scratch.save(left.where(~F.coalesce(covered, F.lit(False))).drop("stretches"))
-    kept = pairs.select(F.col("kept").alias("doc_id"), F.col("kept_digest").alias("digest"), F.col("kept_pos").alias("pos"))
-    around = scratch.save(contexts(docs, pairs.select("doc_id", "digest", "pos").union(kept).distinct(), n))
-    two = around.select(F.col("doc_id").alias("kept"), F.col("digest").alias("kept_digest"), F.col("pos").alias("kept_pos"), F.col("words").alias("b"))
-    both = join_split(pairs.join(around.withColumnRenamed("words", "a"), ["doc_id", "digest", "pos"]), two, ["kept", "kept_digest", "kept_pos"], pairs.groupBy("kept", "kept_digest", "kept_pos").agg(F.count("*").alias("n")))
-
-    def verify(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                b = batch.slice(at, 256)
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), U64).reshape(len(b), -1) for c in ("a", "b"))
-                left, right = matches(x, y, n, similarity)
-                pos = b.column("pos").to_numpy().astype(np.int64)
-                ok = right - left >= block
-                cols = [*(b.column(c).to_numpy()[ok] for c in ("doc_id", "digest", "kept")), (pos - REACH + left)[ok], (pos - REACH + right)[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "digest", "kept", "first", "last"])
-
-    near = both.select("doc_id", "digest", "pos", "kept", "a", "b").mapInArrow(verify, "doc_id bigint, digest bigint, kept bigint, first bigint, last bigint")
+    later = placed.where("doc_id > kept").join(equal, ["doc_id", "digest"], "left")
+    opened = scratch.save(later.where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "digest", "pos"))
+    other = join_split(placed.drop("kept"), opened.select("key").distinct(), "key", sizes)
+    flagged = other.withColumn("open", F.lit(0)).unionByName(opened.withColumn("open", F.lit(1)))
+    # each text once: a later document with an equal text has its places in equal blocks
+    members = scratch.save(flagged.groupBy("key", "digest", "pos").agg(F.min("doc_id").alias("doc_id"), F.max("open").alias("open")))
+    around = scratch.save(contexts(docs, members.select("doc_id", "digest", "pos").distinct(), n))
+    near = compared(members, around, scratch, block, n, similarity)
     each = whole.select("doc_id", "digest", "kept", F.explode("stretches").alias("p"))
     pieces = each.select("doc_id", "digest", "kept", F.col("p.first").cast("long").alias("first"), (F.col("p.last") + block).cast("long").alias("last"))
     return scratch.save(pieces.union(near).distinct())

@@ -463,6 +463,43 @@ def test_substring_dedup_takes_every_copy(spark):
     assert {(r.doc_id, r.n_words) for r in got if r.doc_id >= 100} == {(101 + 10 * k, 60) for k in range(20)}
 
 
+def test_substring_dedup_compares_all_of_a_bucket(spark):
+    rng = np.random.default_rng(8)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    rows = []
+    for k in range(40):  # the first document has two short parts, the others near copies of the whole: a changed word, then an added one
+        p = prose(80)
+        near = p[:40] + prose(1) + p[41:]
+        more = p[:41] + prose(1) + p[41:]
+        rows += [(10 * k, prose(50) + p[5:35] + prose(60) + p[46:76] + prose(30)), (10 * k + 1, prose(60) + p + prose(40))]
+        rows += [(10 * k + 2, prose(30) + (more if k % 2 else near) + prose(60))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = [r for r in substring_dedup.removals(d).collect() if r.n_words >= 78]
+    assert len({r.doc_id for r in got}) >= 38 and {(r.doc_id % 10, r.kept_doc_id % 10) for r in got} == {(2, 1)}
+
+
+def test_crowded_buckets_are_compared_tile_by_tile(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+
+    def prose(n):
+        return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    line, pairs = prose(20), [prose(70) for _ in range(60)]
+    rows = []
+    for k, p in enumerate(pairs):  # a line that all have, and two texts around it that differ by a word
+        for copy in (p, p[:50] + prose(1) + p[51:]):
+            rows.append((len(rows), prose(40) + copy[:30] + line + copy[30:] + prose(40)))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    whole = sorted(map(tuple, substring_dedup.removals(d).collect()))
+    assert {(r[0], r[5]) for r in whole} <= {(2 * k + 1, 2 * k) for k in range(60)} and len({r[0] for r in whole}) >= 55
+    for size in (7, 40):
+        monkeypatch.setattr(substring_dedup, "TILE", size)
+        assert sorted(map(tuple, substring_dedup.removals(d).collect())) == whole
+
+
 def test_minima_are_those_of_every_window():
     rng = np.random.default_rng(0)
     v, same = rng.integers(0, 1 << 62, 500).astype(np.uint64), np.repeat([0, 1, 2], [200, 30, 270])
