@@ -15,8 +15,9 @@ document a bucket has first. Second, a place that lies in no equal block is comp
 its bucket, each text once however many documents have it: the words around both places are lined up, the match is extended on both
 sides over unequal shingles and over up to ``SHIFT`` words put in or taken out, and the exact Jaccard similarity of its word shingles is
 computed. A match counts if it has at least ``BLOCK`` words itself and the wanted similarity; if the longest extension lacks it, the longest part around
-the places that has it counts. Buckets are compared tile by tile, so a crowded one is spread over tasks and bounded in memory; an index of
-its texts' shingles leaves out pairs that share fewer than a match does.
+the places that has it counts. Places with equal words around are compared as one. Buckets are compared tile by tile, open places with frames,
+so a crowded one is spread over tasks and bounded in memory; an index of
+the rarer shingles leaves out pairs that share fewer different ones than a match does.
 
 Blocks and matches, each verified against one document, are what goes from the later document (by doc_id); each passage
 keeps its first copy. What overlaps or touches makes one run. Removals are clustered by the components of all documents
@@ -54,7 +55,7 @@ BRIDGE = 10
 #: Words that one of two lined-up texts may have more than the other by the end of a match.
 SHIFT = 6
 #: Places of a bucket that are compared with each other at once.
-TILE = 4096
+TILE = 8192
 #: Pairs of places that are lined up at once.
 _PAIRS = 2048
 
@@ -181,19 +182,19 @@ def windows(docs: DataFrame, places: DataFrame, bands: int, block: int, n: int)
 
 
 def contexts(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, digest, pos, words): 64-bit hashes of the words around each place (doc_id, digest, pos).
-
-    A task gives a text that is repeated only once.
+    """Rows (doc_id, digest, pos, frame, words): 64-bit hashes of the words around each place (doc_id, digest, pos), and a 128-bit name of
+    them. Rows of a text that several tasks meet are given again.
     """
     wanted = places.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("places"))
     size = 2 * REACH + n
+    salts = [mix(np.arange(size, dtype=U64) + U64(k << 32)) for k in (1, 2)]
 
     def run(batches):
         met: set[tuple[int, int]] = set()
         for b in blocks(batches):
             w = words(b.column("text"))
-            wanted, digest, ids = (b.column(c).to_pylist() for c in ("places", "digest", "doc_id"))
-            row, pos, out = [], [], []
+            places = b.column("places")
+            digest, ids = (b.column(c).to_pylist() for c in ("digest", "doc_id"))
             for i in range(len(b)):
                 if (ids[i], digest[i]) in met or _digest(w, i) != digest[i]:
                     continue
@@ -203,15 +204,21 @@ def contexts(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
                 # what lies outside the text differs from everything
                 edge = np.random.default_rng([digest[i], ids[i] & ((1 << 63) - 1)]).integers(0, 1 << 64, 2 * REACH, U64)
                 h = np.concatenate([edge[:REACH], w.hash[w.word_at[i] : w.word_at[i + 1]], edge[REACH:]])
-                for p in wanted[i]:
-                    row.append(i)
-                    pos.append(p)
-                    out.append(h[p : p + size].tobytes())
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("digest").take(at), pa.array(pos, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "digest", "pos", "words"])
+                wanted = places[i].values.to_numpy()
+                for at in range(0, len(wanted), 1024):
+                    pos = wanted[at : at + 1024]
+                    around = h[pos[:, None] + np.arange(size)]
+                    name = np.stack([mix(mix(around ^ salt).sum(axis=1, dtype=U64)) for salt in salts], axis=1)
+                    cols = [pa.repeat(pa.scalar(ids[i], pa.int64()), len(pos)), pa.repeat(pa.scalar(digest[i], pa.int64()), len(pos)), pa.array(pos, pa.int32()), _binary(name), _binary(around)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "pos", "frame", "words"])
+
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "doc_id bigint, digest bigint, pos int, frame binary, words binary")
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, "doc_id bigint, digest bigint, pos int, words binary")
-    return rows.dropDuplicates(["doc_id", "digest", "pos"])
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _rows_of_shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -309,27 +316,35 @@ def _fewest(shingles: np.ndarray, block: int, n: int, similarity: float) -> int:
     return math.ceil(similarity * least_of - 1e-9)
 
 
-def _hub(doc: np.ndarray, last: np.ndarray, shingles: np.ndarray | None, fewest):
-    """Pairs (later, earlier) of a tile of a bucket by row number, some thousands at a time: rows whose ``doc`` is below another one's ``last``.
+def _hub(x_last: np.ndarray, y_doc: np.ndarray, x_shingles: np.ndarray, y_shingles: np.ndarray, fewest):
+    """Pairs (x, y) of two tiles of a bucket by row number, some thousands at a time: those whose ``y_doc`` is below ``x_last``.
 
-    With shingles (one row for each place) pairs that share fewer of them than a match does are left out; an index of the shingles counts them.
+    Pairs that share fewer different shingles than a match does are left out. Of the wanted number at least one is among x's shingles
+    without as many less one of its most common ones, so an index of y's shingles is asked for the rare ones only.
     """
-    order = np.argsort(doc, kind="stable")
-    before = np.searchsorted(doc[order], last)  # rows of smaller doc_ids come first
-    if shingles is not None:
-        flat = shingles.ravel()
-        by = np.argsort(flat, kind="stable")
-        flat, of = flat[by], by // shingles.shape[1]
+    none = ~U64(0)
+    rows = np.sort(y_shingles, axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
+    flat, of = rows.ravel(), np.repeat(np.arange(len(rows), dtype=np.int32), rows.shape[1])
+    by = np.flatnonzero(flat != none)
+    by = by[np.argsort(flat[by], kind="stable")]
+    flat, of = flat[by], of[by]
     xs, ys, held = [], [], 0
-    for x in np.flatnonzero(last >= 0):
-        if shingles is None:
-            y = order[: before[x]]
-        else:
-            own = np.unique(shingles[x])
-            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-            n = high - low
-            at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            y = np.flatnonzero((np.bincount(of[at], minlength=len(doc)) >= fewest(shingles[x])) & (doc < last[x]))
+    for x in range(len(x_shingles)):
+        own = np.unique(x_shingles[x])
+        wanted = fewest(x_shingles[x])
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        rare = np.argsort(high - low, kind="stable")[: max(1, len(own) - wanted + 1)]
+        start, n = low[rare], (high - low)[rare]
+        at = np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        y = np.unique(of[at])
+        y = y[y_doc[y] < x_last[x]]
+        if wanted > 1:
+            for k in range(0, len(y), _PAIRS):
+                part = y[k : k + _PAIRS]
+                place = np.minimum(np.searchsorted(own, rows[part]), len(own) - 1)
+                y[k : k + _PAIRS] = np.where((own[place] == rows[part]).sum(axis=1) >= wanted, part, -1)
+            y = y[y >= 0]
         for at in range(0, len(y), _PAIRS):
             part = y[at : at + _PAIRS]
             xs.append(np.full(len(part), x))
@@ -348,14 +363,30 @@ _MATCH = "doc_id bigint, digest bigint, kept bigint, first bigint, last bigint"
 def compared(members: DataFrame, around: DataFrame, scratch: Scratch, block: int, n: int, similarity: float) -> DataFrame:
     """Rows (doc_id, digest, kept, first, last): matches of the open places of each bucket with all earlier ones.
 
-    members: key, doc_id, digest, pos, open; around: doc_id, digest, pos, words. Of the matches of a large bucket, for each
+    members: key, doc_id, digest, pos, open; around: doc_id, digest, pos, frame, words. Places with equal words around are one, of the smallest
+    doc_id: they lie in equal blocks, which links their documents. Of the matches of a large bucket, for each
     stretch of a text the one with the smallest kept and those links that hold a component together are given: the others change neither runs nor components.
     """
-    sizes = scratch.save(members.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("n > 1"))
-    dealt = join_split(members, sizes, "key", sizes.select("key", "n")).withColumn("tile", F.pmod(F.xxhash64("digest", "pos"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    rows = dealt.select("key", "i", "j", "tile", "doc_id", "digest", "pos", "open").join(around, ["doc_id", "digest", "pos"])
-    columns = ["key", "i", "j", "tile", "doc_id", "digest", "pos", "open", "words"]
+    named = around.select("doc_id", "digest", "pos", "frame").distinct()
+    placed = scratch.save(members.join(named, ["doc_id", "digest", "pos"]))
+    high = F.max(F.when(F.col("open") > 0, F.col("doc_id")))
+    frames = placed.groupBy("key", "frame").agg(F.min("doc_id").alias("least"), high.alias("high"), F.sum("open").alias("open"))
+    frames = scratch.save(frames)
+    tiles = [F.greatest(F.ceil(c / TILE), F.lit(1)).cast("int") for c in (F.sum("open"), F.count("*"))]
+    sizes = frames.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("low"), F.max("high").alias("high"), tiles[0].alias("x"), tiles[1].alias("y"))
+    sizes = scratch.save(sizes.where("low < high"))
+    none = [F.lit(None).cast("bigint").alias("digest"), F.lit(None).cast("int").alias("pos")]
+    earlier = frames.select("key", "frame", F.col("least").alias("doc_id"), *none, F.lit(0).alias("open"))
+    later = placed.where("open > 0").select("key", "frame", "doc_id", "digest", "pos", "open")
+    both = join_split(earlier.union(later), sizes, "key", sizes.select("key", "n"))
+    both = both.where("doc_id < high and open = 0 or doc_id > low and open > 0")  # the others have none to be compared with
+    # each tile of open places meets each tile of frames; there are few open ones
+    own = F.pmod(F.xxhash64("frame"), F.when(F.col("open") > 0, F.col("x")).otherwise(F.col("y"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("open") > 0, F.col("y")).otherwise(F.col("x")) - 1))
+    dealt = both.withColumn("own", own).withColumn("other", other)
+    ends = [F.when(F.col("open") > 0, F.col(a)).otherwise(F.col(b)) for a, b in (("own", "other"), ("other", "own"))]
+    columns = ["key", "i", "j", "doc_id", "digest", "pos", "open", "words"]
+    rows = dealt.withColumns({"i": ends[0], "j": ends[1]}).join(around.select("frame", "words").dropDuplicates(["frame"]), "frame")
     rows = rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
@@ -375,49 +406,50 @@ def compared(members: DataFrame, around: DataFrame, scratch: Scratch, block: int
             return found[fresh | _spanning(found[:, 0], found[:, 2])]
 
         def crowd(c, h):
-            """Matches of one large group; places whose words around are all equal, as in lists of repeated lines, are compared once."""
-            rank = np.unique(c["doc_id"], return_inverse=True)[1]
-            _, rep, of = np.unique(h.view(f"V{h.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
-            doc, last = np.full(len(rep), len(rank)), np.full(len(rep), -1)
-            np.minimum.at(doc, of, rank)
-            opened = np.flatnonzero(c["open"] > 0)
-            np.maximum.at(last, of[opened], rank[opened])
-            least_id = np.unique(c["doc_id"])[doc]
-            opened = opened[np.argsort(of[opened], kind="stable")]
-            frames = _rows_of_shingles(h[rep], n)
+            """Matches of one large group; open places whose words around are all equal are compared once."""
+            opened, y = np.flatnonzero(c["open"] > 0), np.flatnonzero(c["open"] == 0)
+            if not len(opened) or not len(y):
+                return np.zeros((0, 5), np.int64)
+            _, rep, of = np.unique(h[opened].view(f"V{h.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+            by = np.argsort(of, kind="stable")
+            opened, of, rep = opened[by], of[by], opened[rep]
+            last = np.full(len(rep), np.iinfo(np.int64).min)
+            np.maximum.at(last, of, c["doc_id"][opened])
+            asked, frames = _rows_of_shingles(h[rep], n), _rows_of_shingles(h[y], n)
             found = np.zeros((0, 5), np.int64)
-            for x, y in _hub(doc, last, frames, lambda row: _fewest(row, block, n, similarity)):
-                left, right = _lined_up(frames[x], frames[y], n, similarity, block)
+            for a, b in _hub(last, c["doc_id"][y], asked, frames, lambda row: _fewest(row, block, n, similarity)):
+                left, right = _lined_up(asked[a], frames[b], n, similarity, block)
                 ok = right - left >= block
-                x, y, left, right = x[ok], y[ok], left[ok], right[ok]
-                low, high = np.searchsorted(of[opened], x, "left"), np.searchsorted(of[opened], x, "right")
-                pair = np.repeat(np.arange(len(x)), high - low)  # each open place with the words of x
+                a, kept, left, right = a[ok], c["doc_id"][y[b[ok]]], left[ok], right[ok]
+                low, high = np.searchsorted(of, a, "left"), np.searchsorted(of, a, "right")
+                pair = np.repeat(np.arange(len(a)), high - low)  # each open place with the words of a
                 row = opened[np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]), high - low) + np.arange(len(pair))] if len(pair) else np.zeros(0, np.int64)
-                later = doc[y[pair]] < rank[row]
+                later = kept[pair] < c["doc_id"][row]
                 pair, row = pair[later], row[later]
                 pos = c["pos"][row] - REACH
-                found = np.concatenate([found, np.stack([c["doc_id"][row], c["digest"][row], least_id[y[pair]], pos + left[pair], pos + right[pair]], axis=1)])
+                found = np.concatenate([found, np.stack([c["doc_id"][row], c["digest"][row], kept[pair], pos + left[pair], pos + right[pair]], axis=1)])
                 if len(found) > 1 << 16:
                     found = fewer(found)
             return fewer(found) if len(found) else found
 
         def work(b):
             """Whole groups of rows."""
-            c = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in columns[:-1]}
+            c = {k: pc.fill_null(b.column(k), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in columns[:-1]}
             h = np.frombuffer(b"".join(b.column("words").to_pylist()), U64).reshape(len(b), -1)
-            grams_of = _rows_of_shingles(h, n)
             change = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)) + 1
-            ranked = np.unique(c["doc_id"], return_inverse=True)[1]
             xs, ys, held, out = [], [], 0, []
+            grams_of = None
             for first, last in zip([0, *change.tolist()], [*change.tolist(), len(b)], strict=True):
-                own = {k: v[first:last] for k, v in c.items()}
-                if last - first > 16:
-                    out.append(crowd(own, h[first:last]))
+                if last - first > 32:
+                    out.append(crowd({k: v[first:last] for k, v in c.items()}, h[first:last]))
                     continue
-                for x, y in _hub(ranked[first:last], np.where(own["open"] > 0, ranked[first:last], -1), None, None):
-                    xs.append(x + first)
-                    ys.append(y + first)
-                    held += len(x)
+                if grams_of is None:
+                    grams_of = _rows_of_shingles(h, n)
+                open_, doc = c["open"][first:last] > 0, c["doc_id"][first:last]
+                x, y = np.nonzero(open_[:, None] & ~open_[None, :] & (doc[None, :] < doc[:, None]))
+                xs.append(x + first)
+                ys.append(y + first)
+                held += len(x)
                 if held >= _PAIRS:
                     out.append(measured(c, grams_of, np.concatenate(xs), np.concatenate(ys)))
                     xs, ys, held = [], [], 0
@@ -477,8 +509,12 @@ def repeats(docs: DataFrame, scratch: Scratch, block: int = BLOCK, n: int = SHIN
     flagged = other.withColumn("open", F.lit(0)).unionByName(opened.withColumn("open", F.lit(1)))
     # each text once: a later document with an equal text has its places in equal blocks
     members = scratch.save(flagged.groupBy("key", "digest", "pos").agg(F.min("doc_id").alias("doc_id"), F.max("open").alias("open")))
+    scratch.drop(met)
+    scratch.drop(opened)
     around = scratch.save(contexts(docs, members.select("doc_id", "digest", "pos").distinct(), n))
-    near = compared(members, around, scratch, block, n, similarity)
+    near = scratch.save(compared(members, around, scratch, block, n, similarity))
+    scratch.drop(members)
+    scratch.drop(around)
     each = whole.select("doc_id", "digest", "kept", F.explode("stretches").alias("p"))
     pieces = each.select("doc_id", "digest", "kept", F.col("p.first").cast("long").alias("first"), (F.col("p.last") + block).cast("long").alias("last"))
     return scratch.save(pieces.union(near).distinct())
@@ -509,9 +545,10 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 
 def _cleaned(docs: DataFrame, options: dict) -> DataFrame:
     """docs by position (_c0, _c1, ...), with the text in ``_text`` cut and the cut spans in ``_cut``."""
-    scratch = Scratch(docs.sparkSession, "substring")
+    scratch, kept = Scratch(docs.sparkSession, "substring"), Scratch(docs.sparkSession, "runs")
     found = runs_of(repeats(docs.select("doc_id", "text"), scratch, **options))
-    by_doc = scratch.save(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("digest", "runs")).alias("_found")))
+    by_doc = kept.save(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("digest", "runs")).alias("_found")))
+    scratch.clear()
     span = T.StructType().add("start", "long").add("end", "long")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     others = [f for f in docs.schema.fields if f.name != "text"]

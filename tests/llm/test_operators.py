@@ -710,3 +710,16 @@ def test_character_map_equals_the_library():
     spec = normal.Normalize(text)
     assert got.split() == spec.replace("▁", " ").split()
     assert len(source) == len(got.encode()) + 1 and (np.diff(source) >= 0).all() and io
+
+
+def test_frames_of_repeated_words_are_not_all_lined_up():
+    rng = np.random.default_rng(11)
+    size, reach = 2 * substring_dedup.REACH + 5, substring_dedup.REACH
+    frames = rng.integers(0, 1 << 63, (120, size), np.uint64)
+    frames[:, reach - 10 : reach + 25] = 7  # 35 times the same word, and words of their own around
+    frames[60:120:3] = frames[:60:3]
+    frames[60:120:3, reach + 30] += np.uint64(1)  # near copies
+    shingles = substring_dedup._rows_of_shingles(frames, 5)
+    doc = np.arange(120)
+    got = [p for x, y in substring_dedup._hub(doc, doc, shingles, shingles, lambda row: substring_dedup._fewest(row, 50, 5, 0.8)) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert sorted(got) == [(k + 60, k) for k in range(0, 60, 3)]  # by a count with repetitions all 7140 pairs
