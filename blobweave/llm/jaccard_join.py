@@ -14,7 +14,8 @@ Equal sets form a class and are one node. Buckets with the same first member, th
 taken together as a hub. Where that is a large group, its members are first compared with that one alone, which joins most near
 copies at a cost in proportion to their number. Hubs that are still large and in different components hold sets that share
 some contents and differ elsewhere; they are cut by the segments of another hash of the universe, which every linked pair
-meets in too, so unlike sets part. What is left is compared pair by pair, tile
+meets in too, so unlike sets part. Hubs of several components are then joined by the likeliest pairs, as many as they have components, in
+``FORESTS`` rounds. What is left is compared pair by pair, tile
 by tile within tasks, by sketches that miss no linked pair; only what passes leaves the task and is verified with
 the sets themselves. So no link between components is lost. ``pairs`` gives the links themselves.
 
@@ -49,6 +50,8 @@ TILE = 2048
 LARGE = 8
 #: Sets of a hub outside its largest component above which it is cut by another hash, and how often at most.
 CROWD, CUTS = 16384, 2
+#: Rounds in which hubs of many components are joined by a few likely pairs, before all pairs that are left are verified.
+FORESTS = 2
 #: Segments of a sketch for each unit of the largest difference.
 FINE = 4
 #: Keys of a set that are not too many in any case, as contents less one shingle select better.
@@ -251,6 +254,26 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return join_split(pairs.join(x, "a"), y, "b", pairs.groupBy("b").agg(F.count("*").alias("n"))).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def forest(likely: list[np.ndarray], pairs: list[np.ndarray], part: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The likeliest pairs that join all parts which the pairs join, in one array each."""
+    likely, pairs = np.concatenate(likely), np.concatenate(pairs)
+    order = np.argsort(-likely, kind="stable")
+    root, keep = list(range(int(part.max(initial=0)) + 1)), []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for at in order.tolist():
+        x, y = (top(int(part[k])) for k in pairs[at])
+        if x != y:
+            root[x] = y
+            keep.append(at)
+    return [likely[keep]], [pairs[keep]]
+
+
 class Candidates:
     """The sets that share a bucket with a different one: needed (short, id), hubs (hub, id, first) and known (id and the set itself)."""
 
@@ -283,11 +306,22 @@ class Candidates:
 
     def links(self) -> DataFrame:
         """Rows (node, component) of sets by id, for those with a link to a different set."""
-        found = self.scratch.save(self.with_pivots())
-        labels = self.scratch.save(self.labelled(components(found, self.scratch)))
-        rest = self.hubs.join(labels, self.hubs.id == labels.node).select("hub", "id", "component")
-        more = self.scratch.save(verify(self.scratch.save(self.in_tiles(self.scratch.save(rest))), self.known, self.percent))
-        return self.labelled(components(found.union(more), self.scratch))
+        save, drop = self.scratch.save, self.scratch.drop
+        found = save(self.with_pivots())
+        for few in (*[True] * FORESTS, False):
+            labels = save(self.labelled(components(found, self.scratch)))
+            rest = save(self.hubs.join(labels, self.hubs.id == labels.node).select("hub", "id", "component"))
+            if few:  # hubs of many components first get those links that would join them
+                many = rest.groupBy("hub").agg(F.count("*").alias("n"), F.countDistinct("component").alias("different")).where(F.col("different") > LARGE)
+                many = save(many.select("hub", "n"))
+                if not many.limit(1).count():
+                    continue
+                rest = save(join_split(rest, many.select("hub"), "hub", many))
+            tested = save(self.in_tiles(rest, few))
+            found = save(found.union(verify(tested, self.known, self.percent)))
+            for table in (labels, rest, tested):
+                drop(table)
+        return self.labelled(components(found, self.scratch))
 
     def pairs(self) -> DataFrame:
         """Rows (a, b), a < b: every two different sets that are linked."""
@@ -358,12 +392,12 @@ class Candidates:
 
         return large.select("hub", "id").join(self.known.select("id", "items"), "id").mapInArrow(run, "key bigint, id binary").distinct()
 
-    def in_tiles(self, members: DataFrame) -> DataFrame:
+    def in_tiles(self, members: DataFrame, few: bool = False) -> DataFrame:
         """Pairs (a, b) of sets that share a hub, are in different components and may be linked.
 
         Hubs are cut into tiles of about ``TILE`` sets; a component that fills tiles has its own, which are not compared with each
         other. Each pair of tiles is compared within one task by sketches, which rule out no linked pair; only what is left
-        leaves the task.
+        leaves the task; with ``few`` only the likeliest pairs that join the components of a pair of tiles, as many as these less one.
         """
         bands = self.bands
         rows, parts = self.cut(members)
@@ -389,7 +423,7 @@ class Candidates:
             tile, size, band = (t[c].to_numpy() for c in ("tile", "size", "band"))
             low, high = t["low"].to_pylist(), t["high"].to_pylist()
             crossed = t["i"][0].as_py() != t["j"][0].as_py()
-            a, b = [], []
+            a, b, likely, held = [], [], [], []
             for group in np.unique(band[band >= 0]):
                 left, right = np.flatnonzero(band == group), np.flatnonzero((band == group) | (band == group + 1))
                 own = np.stack([np.frombuffer(high[k] if band[k] == group else low[k], np.uint8) for k in right])
@@ -399,20 +433,30 @@ class Candidates:
                     ok &= (band[right] != group) | (order[right] > order[k])
                     if crossed:
                         ok &= tile[right] != tile[k]
+                    if few:
+                        likely.append(equal[ok] / own.shape[1])
+                        held.append(np.stack([np.full(ok.sum(), k), right[ok]], axis=1))
+                        if sum(map(len, likely)) > 1 << 20:
+                            likely, held = forest(likely, held, part)
+                        continue
                     for x in right[ok]:
                         p, q = (k, x) if order[k] < order[x] else (x, k)
                         a.append(ids[p])
                         b.append(ids[q])
+            for k, x in forest(likely, held, part)[1][0].tolist() if held else ():
+                p, q = (k, x) if order[k] < order[x] else (x, k)
+                a.append(ids[p])
+                b.append(ids[q])
             return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
         near = spread.join(self.known.select("id", "size", "band", "low", "high"), "id").groupBy("hub", "i", "j").applyInArrow(compare, "a binary, b binary")
         return near.distinct()
 
 
-def members(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def members(docs: DataFrame, n: int, percent: int, scratch: Scratch | None = None) -> DataFrame:
     """Rows (doc_id, id, n_shingles, component_id, component), one for each of docs; id: its set. component names what it is in, also
     where no member has a doc_id; it is null without shingles."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     made = scratch.save(classes(docs, n))
     # a class is named by its set; its component by the smallest doc_id in it
     labels = Candidates(docs, made, scratch, n, percent).links()
@@ -454,8 +498,9 @@ def firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     A doc_id that several rows share, or none, does not tell which row is meant: there the set decides too.
     """
-    scratch = Scratch(docs.sparkSession, "firsts")
-    found = scratch.save(members(docs.select("doc_id", "text"), n, percent))
+    scratch, inner = Scratch(docs.sparkSession, "firsts"), Scratch(docs.sparkSession, "jaccard")
+    found = scratch.save(members(docs.select("doc_id", "text"), n, percent, inner))
+    inner.clear()
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
     best = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.doc_id").alias("_best"))
     many = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.coalesce("component_id", F.lit(-1)) != F.col("doc_id"))).alias("goes")).where("doc_id is not null")

@@ -723,3 +723,10 @@ def test_frames_of_repeated_words_are_not_all_lined_up():
     doc = np.arange(120)
     got = [p for x, y in substring_dedup._hub(doc, doc, shingles, shingles, lambda row: substring_dedup._fewest(row, 50, 5, 0.8)) for p in zip(x.tolist(), y.tolist(), strict=True)]
     assert sorted(got) == [(k + 60, k) for k in range(0, 60, 3)]  # by a count with repetitions all 7140 pairs
+
+
+def test_likely_pairs_join_all_components(spark):
+    likely = [np.array([0.5, 0.9, 0.8, 0.7])]
+    pairs = [np.array([[0, 1], [1, 2], [0, 2], [3, 4]])]
+    got = jaccard_join.forest(likely, pairs, np.array([0, 1, 2, 3, 3]))[1][0].tolist()
+    assert got == [[1, 2], [0, 2]]
