@@ -11,8 +11,8 @@ than needed are cut, so that a linked pair has as many more equal ones, and only
 that index them. Candidates are verified exactly.
 
 Equal sets form a class and are one node. Buckets with the same first member, the one with the most companions, are
-taken together as a hub. Where that is a large group, its members are first compared with that one alone, which joins most near
-copies at a cost in proportion to their number. Hubs that are still large and in different components hold sets that share
+taken together as a hub. Where that is a large group, its members are first compared with that one alone, each set in one hub and then, where it is
+still apart from the first, in its other ones; that joins most near copies at a cost in proportion to their number. Hubs that are still large and in different components hold sets that share
 some contents and differ elsewhere; they are cut by the segments of another hash of the universe, which every linked pair
 meets in too, so unlike sets part. Hubs of several components are then joined by the likeliest pairs, as many as they have components, in
 ``FORESTS`` rounds. What is left is compared pair by pair, tile
@@ -305,33 +305,38 @@ class Candidates:
         self.known = scratch.save(made_items.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
     def links(self) -> DataFrame:
-        """Rows (node, component) of sets by id, for those with a link to a different set."""
+        """Rows (node, component) of all needed sets by id; one without a link to a different set is its own.
+
+        Each step has only pairs of sets that the steps before left in different components, and joins only these components.
+        """
         save, drop = self.scratch.save, self.scratch.drop
-        found = save(self.with_pivots())
-        for few in (*[True] * FORESTS, False):
-            labels = save(self.labelled(components(found, self.scratch)))
-            rest = save(self.hubs.join(labels, self.hubs.id == labels.node).select("hub", "id", "component"))
-            if few:  # hubs of many components first get those links that would join them
-                many = rest.groupBy("hub").agg(F.count("*").alias("n"), F.countDistinct("component").alias("different")).where(F.col("different") > LARGE)
-                many = save(many.select("hub", "n"))
-                if not many.limit(1).count():
-                    continue
-                rest = save(join_split(rest, many.select("hub"), "hub", many))
-            tested = save(self.in_tiles(rest, few))
-            found = save(found.union(verify(tested, self.known, self.percent)))
-            for table in (labels, rest, tested):
-                drop(table)
-        return self.labelled(components(found, self.scratch))
+        labels = save(self.needed.select(F.col("id").alias("node"), F.col("id").alias("component")))
+        large = self.large()
+        for step in (self.highest, self.others, *[self.likely] * FORESTS, self.left):
+            tested = step(labels, large)
+            if tested is None:
+                continue
+            tested = save(tested)
+            new = self.merged(labels, save(verify(tested, self.known, self.percent)))
+            drop(tested)
+            drop(labels)
+            labels = new
+        return labels
+
+    def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """labels (node, component) with the components of links (a, b) made one."""
+        a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        between = join_split(links.join(a, "a"), b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        further = components(between, self.scratch).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        own = labels.select("component").distinct()
+        all_of = own.join(further, own.component == further.old, "left").select("component", F.coalesce("new", "component").alias("further"))
+        return self.scratch.save(join_split(labels, all_of, "component").select("node", F.col("further").alias("component")))
 
     def pairs(self) -> DataFrame:
         """Rows (a, b), a < b: every two different sets that are linked."""
         alone = self.hubs.select("hub", "id", F.col("id").alias("component"))
         return verify(self.scratch.save(self.in_tiles(alone)), self.known, self.percent)
 
-    def labelled(self, linked: DataFrame) -> DataFrame:
-        """Components of all needed ids; one without links is its own."""
-        return self.needed.join(linked, self.needed.id == linked.node, "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
-
     def ranked(self, bucket: DataFrame, member: str) -> DataFrame:
         """Rows (hub, member, first) of a table of buckets (key, member).
 
@@ -347,12 +352,34 @@ class Candidates:
         self.scratch.drop(own)
         return out
 
-    def with_pivots(self) -> DataFrame:
-        """Links (a, b) between the first in rank and all that share its buckets, if those are many."""
+    def large(self) -> DataFrame:
+        """Rows (a, b, hub): the sets of each large hub with its first in rank."""
         many = self.hubs.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.when(F.col("first"), F.col("id"))).alias("b")).where(F.col("n") > LARGE)
         many = self.scratch.save(many)
-        tested = join_split(self.hubs, many.select("hub", "b"), "hub", many.select("hub", "n")).where("id <> b")
-        return verify(self.scratch.save(tested.select(F.col("id").alias("a"), "b").distinct()), self.known, self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pivots = join_split(self.hubs, many.select("hub", "b"), "hub", many.select("hub", "n")).where("id <> b")
+        return self.scratch.save(pivots.select(F.col("id").alias("a"), "b", "hub"))
+
+    def highest(self, labels: DataFrame, large: DataFrame) -> DataFrame:
+        """Pairs (a, b): each set with the first of one hub, the highest. Most of what the other hubs would link is linked by these."""
+        return large.groupBy("a").agg(F.max_by("b", "hub").alias("b"))
+
+    def others(self, labels: DataFrame, large: DataFrame) -> DataFrame:
+        """Pairs (a, b): the sets with the firsts of all their large hubs, where they are still apart."""
+        a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        return join_split(large.select("a", "b").distinct().join(a, "a"), b, "b").where("of_a <> of_b").select("a", "b")
+
+    def likely(self, labels: DataFrame, large: DataFrame) -> DataFrame | None:
+        """Pairs (a, b) that would join the components of hubs that have many."""
+        rest = self.hubs.join(labels, self.hubs.id == labels.node)
+        many = rest.groupBy("hub").agg(F.count("*").alias("n"), F.countDistinct("component").alias("different")).where(F.col("different") > LARGE)
+        many = self.scratch.save(many.select("hub", "n"))
+        if not many.limit(1).count():
+            return None
+        return self.in_tiles(self.scratch.save(join_split(rest.select("hub", "id", "component"), many.select("hub"), "hub", many)), True)
+
+    def left(self, labels: DataFrame, large: DataFrame) -> DataFrame:
+        """All pairs (a, b) that are still apart."""
+        return self.in_tiles(self.scratch.save(self.hubs.join(labels, self.hubs.id == labels.node).select("hub", "id", "component")))
 
     def parts(self, rows: DataFrame) -> DataFrame:
         """Rows (hub, n, most, comps) of hubs with more than one component: members, those of the largest component, and the components

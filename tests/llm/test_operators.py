@@ -730,3 +730,29 @@ def test_likely_pairs_join_all_components(spark):
     pairs = [np.array([[0, 1], [1, 2], [0, 2], [3, 4]])]
     got = jaccard_join.forest(likely, pairs, np.array([0, 1, 2, 3, 3]))[1][0].tolist()
     assert got == [[1, 2], [0, 2]]
+
+
+def test_components_at_once_and_spread_are_equal(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))], "a bigint, b bigint")
+    few = sorted(map(tuple, components.components(edges, Scratch(spark, "t")).collect()))
+    monkeypatch.setattr(components, "FEW", 0)
+    assert sorted(map(tuple, components.components(edges, Scratch(spark, "t")).collect())) == few
+
+
+def test_near_copies_in_many_hubs_are_tested_in_proportion(spark, monkeypatch):
+    words, rows = [f"w{k}" for k in range(400)], []
+    for k in range(200):
+        own = list(words)
+        own[(37 * k) % 400] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    asked = []
+
+    def counted(pairs, known, percent, verify=jaccard_join.verify):
+        asked.append(pairs.count())
+        return verify(pairs, known, percent)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(asked) < 2 * len(rows), asked
