@@ -241,6 +241,55 @@ def matches(a: np.ndarray, b: np.ndarray, n: int, similarity: float, block: int
     return _lined_up(_rows_of_shingles(a, n), _rows_of_shingles(b, n), n, similarity, block)
 
 
+def _before(row: np.ndarray) -> np.ndarray:
+    """Where each value of a row stands last before; -1: nowhere."""
+    order = np.argsort(row, kind="stable")
+    again = np.flatnonzero(row[order[1:]] == row[order[:-1]])
+    out = np.full(len(row), -1)
+    out[order[again + 1]] = order[again]
+    return out
+
+
+def _counts(p: np.ndarray, q: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many different values both have, and either, of p's spans (s, e) and q's (low, high)."""
+    place = np.arange(p.shape[1])
+    x = np.where((place >= s[:, None]) & (place < e[:, None]), p, ~U64(0))
+    y = np.where((place >= low[:, None]) & (place < high[:, None]), q, ~U64(0))
+    if not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    either = _different(np.concatenate([x, y], axis=1))
+    return _different(x) + _different(y) - either, either
+
+
+def _longest(p: np.ndarray, q: np.ndarray, hit: np.ndarray, turn: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, similarity: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last matched shingle (exclusive) of the longest part of (left, right) around the middle that is similar, at least the equal
+    stretch around it; (left, right) itself is known not to be."""
+    count, m = p.shape
+    mid, place, own = REACH, np.arange(m), p == q
+    goes_on = hit[:, 1:] & hit[:, :-1] & (turn[:, 1:] == turn[:, :-1])
+    edge = np.zeros((count, 1), bool)
+    begin = hit & (place >= left[:, None]) & (place <= mid) & ((place == left[:, None]) | ~np.concatenate([edge, goes_on], axis=1))
+    stop = hit & (place >= mid) & (place < right[:, None]) & ~np.concatenate([goes_on, edge], axis=1)
+    best = np.where(~own & (place < mid), place, -1).max(1) + 1, np.where(~own & (place > mid), place, m).min(1)
+    (row, s), (of, e) = np.nonzero(begin), np.nonzero(stop)
+    n_stops = np.bincount(of, minlength=count)
+    times = n_stops[row]
+    at = np.repeat((np.cumsum(n_stops) - n_stops)[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    row, s, e = np.repeat(row, times), np.repeat(s, times), e[at] + 1
+    long = (e - s + n - 1 >= np.maximum(block, best[1] - best[0] + n)[row]) & ((s > left[row]) | (e < right[row]))
+    row, s, e = row[long], s[long], e[long]
+    order = np.lexsort((s - e, row))
+    row, s, e = row[order], s[order], e[order]
+    for k in range(0, len(row), _PAIRS):
+        r, u, v = (c[k : k + _PAIRS] for c in (row, s, e))
+        both, either = _counts(p[r], q[r], u, v, u + turn[r, u], v + turn[r, v - 1])
+        ok = np.flatnonzero(both >= similarity * either)
+        r, first = np.unique(r[ok], return_index=True)  # the longest
+        first, fresh = ok[first], best[1][r] - best[0][r] < (v - u)[ok[first]]
+        best[0][r[fresh]], best[1][r[fresh]] = u[first[fresh]], v[first[fresh]]
+    return best
+
+
 def _lined_up(p: np.ndarray, q: np.ndarray, n: int, similarity: float, block: int) -> tuple[np.ndarray, np.ndarray]:
     """``matches`` of rows of shingles."""
     count, m = p.shape
@@ -248,44 +297,34 @@ def _lined_up(p: np.ndarray, q: np.ndarray, n: int, similarity: float, block: in
     rows = np.arange(count)
     hit, turn = p == q, np.zeros((count, m), np.int8)
     own = hit.copy()
+    x, y = p.astype(np.uint16), q.astype(np.uint16)  # few of the unequal are equal in these bits, so only few are compared as a whole
     for d in sorted((k for k in range(-SHIFT, SHIFT + 1) if k), key=abs):  # the least shift first
         into = slice(max(0, -d), m - max(0, d))
-        more = (p[:, into] == q[:, into.start + d : into.stop + d]) & ~hit[:, into]
-        if more.any():
-            hit[:, into] |= more
-            turn[:, into][more] = d
+        row, at = np.nonzero((x[:, into] == y[:, into.start + d : into.stop + d]) & ~hit[:, into])
+        at += into.start
+        more = p[row, at] == q[row, at + d]
+        row, at = row[more], at[more]
+        hit[row, at], turn[row, at] = True, d
+    across = np.ascontiguousarray(hit.T)
     ends = []
     for steps in (range(mid - 1, -1, -1), range(mid + 1, m)):
-        reach, gap, alive = np.full(count, mid), np.zeros(count, np.int64), own[:, mid].copy()
+        reach, gap, alive = np.full(count, mid), np.zeros(count, np.int8), own[:, mid].copy()
         for i in steps:
-            gap = np.where(hit[:, i], 0, gap + 1)
+            gap += 1
+            gap[across[i]] = 0
             alive &= gap <= BRIDGE
-            reach = np.where(alive & hit[:, i], i, reach)
+            reach[alive & across[i]] = i
         ends.append(reach)
     left, right = ends[0], ends[1] + 1
-    total = np.zeros((count, m + 1), np.int64)
+    total = np.zeros((count, m + 1), np.int16)
     np.cumsum(own, axis=1, out=total[:, 1:])
     matched = total[rows, right] - total[rows, left]
     left[~own[:, mid]] = right[~own[:, mid]] = 0
     todo = np.flatnonzero((matched < right - left) & own[:, mid] & (right - left + n - 1 >= block))
-    place = np.arange(m)
-    x = np.where((place >= left[todo, None]) & (place < right[todo, None]), p[todo], ~U64(0))
-    low, high = left[todo] + turn[todo, left[todo]], right[todo] + turn[todo, right[todo] - 1]
-    y = np.where((place >= low[:, None]) & (place < high[:, None]), q[todo], ~U64(0))
-    either = _different(np.concatenate([x, y], axis=1)) if len(todo) else np.zeros(0, np.int64)
-    both = _different(x) + _different(y) - either if len(todo) else either
-    for i in todo[both < similarity * either]:  # the longest part that is similar, at least the equal stretch around the place
-        on = np.append(hit[i], False)
-        begins = [k for k in range(left[i], mid + 1) if on[k] and (k == left[i] or not on[k - 1] or turn[i, k] != turn[i, k - 1])]
-        stops = [k + 1 for k in range(mid, right[i]) if on[k] and (not on[k + 1] or turn[i, k] != turn[i, k + 1])]
-        miss = np.flatnonzero(~own[i])
-        best = (miss[miss < mid].max(initial=-1) + 1, miss[miss > mid].min(initial=m))
-        for s, e in sorted(((s, e) for s in begins for e in stops if e - s + n - 1 >= max(block, best[1] - best[0] + n)), key=lambda w: w[0] - w[1]):
-            u, v = set(p[i, s:e].tolist()), set(q[i, s + turn[i, s] : e + turn[i, e - 1]].tolist())
-            if len(u & v) >= similarity * len(u | v):
-                best = (s, e)
-                break
-        left[i], right[i] = best
+    both, either = _counts(p[todo], q[todo], left[todo], right[todo], left[todo] + turn[todo, left[todo]], right[todo] + turn[todo, right[todo] - 1])
+    less = todo[both < similarity * either]
+    if len(less):
+        left[less], right[less] = _longest(p[less], q[less], hit[less], turn[less], left[less], right[less], n, similarity, block)
     return left, np.where(right > left, right + n - 1, 0)
 
 
@@ -311,8 +350,10 @@ def _fewest(shingles: np.ndarray, block: int, n: int, similarity: float) -> int:
     """How many of a row's different shingles any match around its middle shares: the wanted share of those that a block has."""
     width = block - n + 1
     least_of = width
-    if len(np.unique(shingles)) < len(shingles):
-        least_of = min(len(np.unique(shingles[k : k + width])) for k in range(max(0, REACH - width + 1), min(REACH, len(shingles) - width) + 1))
+    at = _before(shingles)
+    if (at >= 0).any():
+        first = np.arange(max(0, REACH - width + 1), min(REACH, len(shingles) - width) + 1)
+        least_of = int((at[first[:, None] + np.arange(width)] < first[:, None]).sum(1).min())
     return math.ceil(similarity * least_of - 1e-9)
 
 

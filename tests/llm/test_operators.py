@@ -1,6 +1,7 @@
 import hashlib
 import re
 import struct
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -756,3 +757,87 @@ def test_near_copies_in_many_hubs_are_tested_in_proportion(spark, monkeypatch):
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
     assert {r.component_id for r in got} == {0}
     assert sum(asked) < 2 * len(rows), asked
+
+
+def plain_match(p, q, n, similarity, block):
+    m, mid = len(p), substring_dedup.REACH
+    if p[mid] != q[mid]:
+        return 0, 0
+    turn = {}
+    for d in sorted(range(-substring_dedup.SHIFT, substring_dedup.SHIFT + 1), key=abs):
+        for k in range(max(0, -d), m - max(0, d)):
+            if k not in turn and p[k] == q[k + d]:
+                turn[k] = d
+
+    def end(steps):
+        got = mid
+        for k in steps:
+            if k in turn and abs(k - got) <= substring_dedup.BRIDGE + 1:
+                got = k
+        return got
+
+    left, right = end(range(mid - 1, -1, -1)), end(range(mid + 1, m)) + 1
+
+    def similar(s, e):
+        u, v = set(p[s:e].tolist()), set(q[s + turn[s] : e + turn[e - 1]].tolist())
+        return len(u & v) >= similarity * len(u | v)
+
+    if right - left + n - 1 >= block and not similar(left, right):
+        miss = np.flatnonzero(p != q)
+        best = (int(miss[miss < mid].max(initial=-1)) + 1, int(miss[miss > mid].min(initial=m)))
+        begins = [k for k in range(left, mid + 1) if k in turn and (k == left or turn.get(k - 1) != turn[k])]
+        stops = [k + 1 for k in range(mid, right) if k in turn and turn.get(k + 1) != turn[k]]
+        for s, e in sorted(((s, e) for s in begins for e in stops if e - s + n - 1 >= max(block, best[1] - best[0] + n)), key=lambda w: w[0] - w[1]):
+            if similar(s, e):
+                best = (s, e)
+                break
+        left, right = best
+    return left, right + n - 1
+
+
+def lined_up_rows(count, seed=5):
+    """Rows of words and changed copies of them: words replaced, put in, taken out, and repeated."""
+    rng, size = np.random.default_rng(seed), 2 * substring_dedup.REACH + 5
+    p = rng.integers(0, np.where(np.arange(count) % 4 == 0, 30, 1 << 40)[:, None], (count, size)).astype(np.uint64)
+    q = p.copy()
+    for k in range(count):
+        q[k, rng.integers(0, size, rng.integers(0, 8))] = 7
+        cut = int(rng.integers(60, 80))
+        if k % 3 == 0:
+            q[k, cut + 3 :] = q[k, cut:-3].copy()
+        if k % 5 == 0:
+            q[k, cut:-2] = q[k, cut + 2 :].copy()
+        if k % 7 == 0:
+            q[k, : 30 + k % 20] = rng.integers(1 << 40, 1 << 41, 30 + k % 20)
+    return p, q
+
+
+def test_lined_up_rows_equal_a_plain_comparison():
+    p, q = lined_up_rows(600)
+    left, right = substring_dedup.matches(p, q, 5, 0.8, 50)
+    x, y = (substring_dedup._rows_of_shingles(c, 5) for c in (p, q))
+    want = [plain_match(a, b, 5, 0.8, 50) for a, b in zip(x, y, strict=True)]
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == want
+    assert 50 < sum(e - s >= 50 for s, e in want) < 550
+    width = 50 - 5 + 1
+    for row in x[:40]:
+        least_of = min(len(set(row[k : k + width].tolist())) for k in range(3, 49))
+        assert substring_dedup._fewest(row, 50, 5, 0.8) == int(np.ceil(0.8 * least_of - 1e-9))
+
+
+def test_lined_up_rows_are_compared_together():
+    calls = []
+    for count in (200, 1200):
+        p, q = lined_up_rows(count)
+        made = [0]
+
+        def seen(frame, event, arg, made=made):
+            made[0] += event.endswith("call")
+
+        sys.setprofile(seen)
+        try:
+            substring_dedup.matches(p, q, 5, 0.8, 50)
+        finally:
+            sys.setprofile(None)
+        calls.append(made[0])
+    assert calls[1] - calls[0] < 1000, calls  # a few for each further row would be many thousands
