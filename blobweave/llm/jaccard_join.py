@@ -12,7 +12,8 @@ that index them. Candidates are verified exactly.
 
 Equal sets form a class and are one node. Buckets with the same first member, the one with the most companions, are
 taken together as a hub. Where that is a large group, its members are first compared with that one alone, each set in one hub and then, where it is
-still apart from the first, in its other ones; that joins most near copies at a cost in proportion to their number. Hubs that are still large and in different components hold sets that share
+still apart from the first, in its other ones; sketches, which miss no linked pair, tell which of these pairs are worth verifying, and only the sets that
+such pairs name are moved. That joins most near copies at a cost in proportion to their number. Hubs that are still large and in different components hold sets that share
 some contents and differ elsewhere; they are cut by the segments of another hash of the universe, which every linked pair
 meets in too, so unlike sets part. Hubs of several components are then joined by the likeliest pairs, as many as they have components, in
 ``FORESTS`` rounds. What is left is compared pair by pair, tile
@@ -287,6 +288,8 @@ class Candidates:
         scratch.drop(bucket)
         ids = self.needed.select("id")
         one = made.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        rows = made.where("doc_id is not null").groupBy("doc_id").agg((F.count("*") == 1).alias("sole"))
+        one = scratch.save(one.join(rows.hint("merge"), "doc_id", "left").select("doc_id", "id", "sole"))
 
         def items(batches):
             for b in blocks(batches):
@@ -297,12 +300,14 @@ class Candidates:
                 cols = [pa.array([set_id(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "size", "band", "low", "high"])
 
-        # rows that share a doc_id may have different sets, so each row's own set tells which it is; a set may have no doc_id
-        # (merged at every size: a list that is broadcast while it is short would hide what a long one costs)
-        named = docs.join(one.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
-        texts = named.union(docs.where("doc_id is null").select("text"))
-        made_items = texts.mapInArrow(items, "id binary, items binary, size bigint, band int, low binary, high binary")
-        self.known = scratch.save(made_items.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        # a doc_id of one row tells whose set it is; rows that share one may have different sets, so each row's own set tells there, and
+        # a set may have no doc_id (merged at every size: a list that is broadcast while it is short would hide what a long one costs)
+        schema = "id binary, items binary, size bigint, band int, low binary, high binary"
+        named = docs.join(one.where("sole").select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
+        unsure = docs.join(one.where("not sole").select("doc_id").distinct(), "doc_id", "left_semi").select("text").union(docs.where("doc_id is null").select("text"))
+        unsure = unsure.mapInArrow(items, schema).join(one.where("sole is null or not sole").select("id"), "id", "left_semi").dropDuplicates(["id"])
+        self.known = scratch.save(named.mapInArrow(items, schema).union(unsure))
+        scratch.drop(one)
 
     def links(self) -> DataFrame:
         """Rows (node, component) of all needed sets by id; one without a link to a different set is its own.
@@ -317,12 +322,42 @@ class Candidates:
             if tested is None:
                 continue
             tested = save(tested)
-            new = self.merged(labels, save(verify(tested, self.known, self.percent)))
+            new = self.merged(labels, self.verified(tested))
             drop(tested)
             drop(labels)
             labels = new
         return labels
 
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked. Only the sets that they name are joined with them."""
+        named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        some = self.scratch.save(self.known.select("id", "items").join(named, "id", "left_semi"))
+        links = self.scratch.save(verify(pairs, some, self.percent))
+        self.scratch.drop(some)
+        return links
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may be linked by their sketches, which take an eighth of the room of the sets and rule out no linked pair."""
+        bands = self.bands
+
+        def run(batches):
+            for batch in batches:
+                ok = []
+                for at in range(0, len(batch), 256):
+                    b = batch.slice(at, 256)
+                    c = {k: b.column(k).to_pylist() for k in ("x", "y")}
+                    for x, y in zip(c["x"], c["y"], strict=True):
+                        x, y = sorted((x, y), key=lambda s: s["band"])
+                        if x["band"] < 0 or y["band"] > x["band"] + 1:
+                            ok.append(False)
+                            continue
+                        p, q = np.frombuffer(x["high"], np.uint8), np.frombuffer(y["high" if x["band"] == y["band"] else "low"], np.uint8)
+                        ok.append(int((p != q).sum()) <= bands.difference(x["size"] + y["size"]))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        x, y = (self.known.select(F.col("id").alias(k), F.struct("size", "band", "low", "high").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return join_split(pairs.join(x, "a"), y, "b", pairs.groupBy("b").agg(F.count("*").alias("n"))).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
     def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
         """labels (node, component) with the components of links (a, b) made one."""
         a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
@@ -335,7 +370,7 @@ class Candidates:
     def pairs(self) -> DataFrame:
         """Rows (a, b), a < b: every two different sets that are linked."""
         alone = self.hubs.select("hub", "id", F.col("id").alias("component"))
-        return verify(self.scratch.save(self.in_tiles(alone)), self.known, self.percent)
+        return self.verified(self.scratch.save(self.in_tiles(alone)))
 
     def ranked(self, bucket: DataFrame, member: str) -> DataFrame:
         """Rows (hub, member, first) of a table of buckets (key, member).
@@ -361,12 +396,12 @@ class Candidates:
 
     def highest(self, labels: DataFrame, large: DataFrame) -> DataFrame:
         """Pairs (a, b): each set with the first of one hub, the highest. Most of what the other hubs would link is linked by these."""
-        return large.groupBy("a").agg(F.max_by("b", "hub").alias("b"))
+        return self.alike(self.scratch.save(large.groupBy("a").agg(F.max_by("b", "hub").alias("b"))))
 
     def others(self, labels: DataFrame, large: DataFrame) -> DataFrame:
         """Pairs (a, b): the sets with the firsts of all their large hubs, where they are still apart."""
         a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        return join_split(large.select("a", "b").distinct().join(a, "a"), b, "b").where("of_a <> of_b").select("a", "b")
+        return self.alike(self.scratch.save(join_split(large.select("a", "b").distinct().join(a, "a"), b, "b").where("of_a <> of_b").select("a", "b")))
 
     def likely(self, labels: DataFrame, large: DataFrame) -> DataFrame | None:
         """Pairs (a, b) that would join the components of hubs that have many."""

@@ -759,6 +759,48 @@ def test_near_copies_in_many_hubs_are_tested_in_proportion(spark, monkeypatch):
     assert sum(asked) < 2 * len(rows), asked
 
 
+def test_only_sets_of_likely_pairs_are_moved_to_be_verified(spark, monkeypatch):
+    common, rows = [f"w{k}" for k in range(200)], []
+    for k in range(40):
+        own = [*common, *(f"x{k}-{i}" for i in range(200))]
+        rows.append((k, " ".join(own)))
+    own[7] = "other"
+    rows.append((40, " ".join(own)))
+    asked, moved = [], []
+
+    def counted(pairs, known, percent, verify=jaccard_join.verify):
+        asked.append(pairs.count())
+        moved.append(known.count())
+        return verify(pairs, known, percent)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert got == {k: min(k, 39) for k in range(41)}
+    assert sum(asked) < 10 and max(moved) <= 4, (asked, moved)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_rule_out_no_linked_pair(spark, percent):
+    rng, rows, pairs, linked = np.random.default_rng(percent), [], [], set()
+    join = jaccard_join.Candidates.__new__(jaccard_join.Candidates)
+    join.bands = bands = jaccard_join.Bands(percent)
+    for k in range(120):
+        p = np.unique(rng.integers(0, 1 << 64, int(rng.integers(9, 300)), np.uint64))
+        off = int(rng.integers(0, max(2, len(p) * (100 - percent) // 70)))
+        q = np.unique(np.concatenate([p[off:], rng.integers(0, 1 << 64, int(rng.integers(0, off + 1)), np.uint64)]))
+        a, b = (f"{k}{c}".encode() for c in "pq")
+        for name, x in ((a, p), (b, q)):
+            band = bands.band(len(x))
+            rows.append((name, len(x), band, bands.sketch(x, band - 1).tobytes() if band > 0 else None, bands.sketch(x, band).tobytes() if band >= 0 else None))
+        pairs.append((a, b))
+        inter = len(np.intersect1d(p, q))
+        if off and 100 * inter >= percent * (len(p) + len(q) - inter):
+            linked.add((a, b))
+    join.known = spark.createDataFrame(rows, "id binary, size bigint, band int, low binary, high binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in join.alike(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
+    assert 20 < len(linked) < 110 and linked <= got
+
+
 def plain_match(p, q, n, similarity, block):
     m, mid = len(p), substring_dedup.REACH
     if p[mid] != q[mid]:
