@@ -43,11 +43,12 @@ def heavy_keys(sizes: DataFrame, on: list[str], total: int) -> DataFrame:
     return sizes.where(F.col("n") * HEAVY > total).select(*on, F.ceil(F.col("n") * HEAVY / F.lit(max(1, total))).cast("int").alias("_parts"))
 
 
-def join_split(rows: DataFrame, table: DataFrame, on: str | list[str], sizes: DataFrame | None = None, heavy: DataFrame | None = None) -> DataFrame:
+def join_split(rows: DataFrame, table: DataFrame, on: str | list[str], sizes: DataFrame | None = None, heavy: DataFrame | None = None, hashed: bool = False) -> DataFrame:
     """The inner join of rows with a table of one row for each key, without sending a heavy key's rows to one task.
 
     sizes (on, n): how many rows a key has, as a table that is cheap to read; else they are counted, unless the heavy keys are given.
-    Heavy keys are dealt by a hash of the row into parts, and the table's row is repeated for each part.
+    Heavy keys are dealt by a hash of the row into parts, and the table's row is repeated for each part. With ``hashed`` the table is the much
+    shorter one: a task holds its part of it in memory, and neither is sorted.
     """
     on = [on] if isinstance(on, str) else on
     if heavy is None:
@@ -56,7 +57,8 @@ def join_split(rows: DataFrame, table: DataFrame, on: str | list[str], sizes: Da
     heavy = F.broadcast(heavy)
     dealt = rows.join(heavy, on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))).drop("_parts")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    return dealt.join(table.join(heavy, on, "left").withColumn("_part", parts).drop("_parts"), [*on, "_part"]).drop("_part")
+    table = table.join(heavy, on, "left").withColumn("_part", parts).drop("_parts")
+    return dealt.join(table.hint("shuffle_hash") if hashed else table, [*on, "_part"]).drop("_part")
 
 
 def by_key(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:

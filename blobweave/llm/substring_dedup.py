@@ -56,6 +56,8 @@ BRIDGE = 10
 SHIFT = 6
 #: Places of a bucket that are compared with each other at once.
 TILE = 8192
+#: Texts of a task whose places are collected by hash, not by sorting; a text has some dozens.
+TEXTS = 1 << 15
 #: Pairs of places that are lined up at once.
 _PAIRS = 2048
 
@@ -83,7 +85,8 @@ def least(v: np.ndarray, same: np.ndarray, width: int) -> tuple[np.ndarray, np.n
 
 def minima(v: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
     """Positions that hold the least value of some window of ``width`` within one text."""
-    return np.unique(least(v, same, width)[1])
+    at = least(v, same, width)[1]  # ascending, as a window's least value never lies before that of the window before
+    return at[np.append(True, at[1:] != at[:-1])[: len(at)]]
 
 
 def ranks(shingle: np.ndarray, band: int) -> np.ndarray:
@@ -91,18 +94,19 @@ def ranks(shingle: np.ndarray, band: int) -> np.ndarray:
     return mix(shingle + mix(np.array([band + 1], U64)))
 
 
-def _digest(w, i: int) -> int:
-    """A name of the word sequence of one text of a block."""
-    h = w.hash[w.word_at[i] : w.word_at[i + 1]]
-    return int((mix(np.array([np.add.reduce(mix(h ^ mix(np.arange(len(h), dtype=U64)))) + U64(len(h))], U64)) >> U64(1)).astype(np.int64)[0])
+def digests(w) -> np.ndarray:
+    """A name of the word sequence of each text of a block."""
+    size = np.diff(w.word_at)
+    place = np.arange(len(w.hash)) - np.repeat(w.word_at[:-1], size)
+    total = np.append(U64(0), np.cumsum(mix(w.hash ^ mix(np.arange(size.max(initial=0), dtype=U64))[place]), dtype=U64))
+    return (mix(total[w.word_at[1:]] - total[w.word_at[:-1]] + size.astype(U64)) >> U64(1)).astype(np.int64)
 
 
-def spread(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n words from each word on, whatever texts they belong to."""
-    m = max(0, len(h) - n + 1)
-    out = np.full(m, n, U64)
+def spread(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each of the places ``at`` on, whatever texts they belong to."""
+    out = np.full(len(at), n, U64)
     for k in range(n):
-        out = mix(out * U64(0xD6E8FEB86659FD93) + h[k : k + m])
+        out = mix(out * U64(0xD6E8FEB86659FD93) + h[at + k])
     return out
 
 
@@ -125,17 +129,16 @@ def anchors(docs: DataFrame, bands: int, block: int, n: int) -> DataFrame:
             w = words(b.column("text"))
             shingle, at = grams(w, n)
             text = np.searchsorted(w.word_at, at, "right") - 1
-            digest = np.array([_digest(w, i) for i in range(len(b))], np.int64)
+            digest = digests(w)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             out = [[np.zeros(0, np.int64)] for _ in range(4)]
-            side = spread(w.hash, SIDE)
             begin, end = w.word_at[text], w.word_at[text + 1]
             for band in range(bands):
                 v = ranks(shingle, band)
                 pick = minima(v, text, block - n + 1)
                 for which, (start, ok) in enumerate(((at[pick] - SIDE, at[pick] - SIDE >= begin[pick]), (at[pick] + n, at[pick] + n + SIDE <= end[pick]))):
                     own = pick[ok]
-                    key, of = mix(v[own] + side[start[ok]] + U64(which)).astype(np.int64), text[own]
+                    key, of = mix(v[own] + spread(w.hash, start[ok], SIDE) + U64(which)).astype(np.int64), text[own]
                     out[0].append(key)
                     out[1].append(ids[of])
                     out[2].append(digest[of])
@@ -158,7 +161,7 @@ def windows(docs: DataFrame, places: DataFrame, bands: int, block: int, n: int)
             sizes = pc.list_value_length(b.column("places")).to_numpy()
             text = np.repeat(np.arange(len(b)), sizes)
             digest, ids = (b.column(c).to_numpy() for c in ("digest", "doc_id"))
-            mine = np.array([_digest(w, i) for i in range(len(b))], np.int64) == digest
+            mine = digests(w) == digest
             place = b.column("places").flatten().to_numpy()[mine[text]]
             at = w.word_at[text[mine[text]]] + place // 256
             shared = np.zeros(len(w.hash) + 1, np.uint64)
@@ -195,8 +198,9 @@ def contexts(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
             w = words(b.column("text"))
             places = b.column("places")
             digest, ids = (b.column(c).to_pylist() for c in ("digest", "doc_id"))
+            own = digests(w).tolist()
             for i in range(len(b)):
-                if (ids[i], digest[i]) in met or _digest(w, i) != digest[i]:
+                if (ids[i], digest[i]) in met or own[i] != digest[i]:
                     continue
                 if len(met) > 100_000:  # bounds the memory; rows given again are merged later
                     met.clear()
@@ -518,7 +522,7 @@ def compared(members: DataFrame, around: DataFrame, scratch: Scratch, block: int
 def _later(rows: DataFrame, key: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """rows of keys that a document with a smaller doc_id has too, with that as ``kept``; and the keys' sizes."""
     stats = scratch.save(rows.groupBy(*key).agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("kept < high").drop("high"))
-    return join_split(rows, stats.drop("n"), key, stats.select(*key, "n")), stats.select(*key, "n")
+    return join_split(rows, stats.drop("n"), key, stats.select(*key, "n"), hashed=True), stats.select(*key, "n")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, block: int = BLOCK, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -546,7 +550,7 @@ def repeats(docs: DataFrame, scratch: Scratch, block: int = BLOCK, n: int = SHIN
     covered = F.exists("stretches", lambda s: (s["first"] <= F.col("pos")) & (s["last"] >= F.col("pos") - (block - n)))
     later = placed.where("doc_id > kept").join(equal, ["doc_id", "digest"], "left")
     opened = scratch.save(later.where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "digest", "pos"))
-    other = join_split(placed.drop("kept"), opened.select("key").distinct(), "key", sizes)
+    other = join_split(placed.drop("kept"), opened.select("key").distinct(), "key", sizes, hashed=True)
     flagged = other.withColumn("open", F.lit(0)).unionByName(opened.withColumn("open", F.lit(1)))
     # each text once: a later document with an equal text has its places in equal blocks
     members = scratch.save(flagged.groupBy("key", "digest", "pos").agg(F.min("doc_id").alias("doc_id"), F.max("open").alias("open")))
@@ -576,7 +580,7 @@ def runs_of(pieces: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, **options) -> DataFrame:
     """Rows (doc_id, digest, first_word, last_word, n_words, kept_doc_id, component_id), one for each removed run."""
-    scratch = Scratch(docs.sparkSession, "substring")
+    scratch = Scratch(docs.sparkSession, "substring", TEXTS)
     pieces = repeats(docs, scratch, **options)
     rows = runs_of(pieces).select("doc_id", "digest", F.explode("runs").alias("r"))
     rows = rows.select("doc_id", "digest", F.col("r.first").alias("first_word"), F.col("r.last").alias("last_word"), F.expr("r.last - r.first").alias("n_words"), F.col("r.kept").alias("kept_doc_id"))
@@ -586,7 +590,7 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 
 def _cleaned(docs: DataFrame, options: dict) -> DataFrame:
     """docs by position (_c0, _c1, ...), with the text in ``_text`` cut and the cut spans in ``_cut``."""
-    scratch, kept = Scratch(docs.sparkSession, "substring"), Scratch(docs.sparkSession, "runs")
+    scratch, kept = Scratch(docs.sparkSession, "substring", TEXTS), Scratch(docs.sparkSession, "runs")
     found = runs_of(repeats(docs.select("doc_id", "text"), scratch, **options))
     by_doc = kept.save(found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("digest", "runs")).alias("_found")))
     scratch.clear()
@@ -601,12 +605,11 @@ def _cleaned(docs: DataFrame, options: dict) -> DataFrame:
         for b in blocks(batches, "_text"):
             w = words(b.column("_text"))
             data, text_at = raw(b.column("_text"))
-            new, cut = b.column("_text").to_pylist(), []
+            new, cut, names = b.column("_text").to_pylist(), [], digests(w).tolist()
             for i, many in enumerate(b.column("_found").to_pylist()):
                 spans = []
-                digest = _digest(w, i) if many else None
                 for f in many or []:
-                    if f["digest"] == digest:
+                    if f["digest"] == names[i]:
                         own = data[text_at[i] : text_at[i + 1]]
                         base = w.word_at[i]
                         at = [(int(w.start[base + r["first"]] - text_at[i]), int(w.end[base + r["last"] - 1] - text_at[i])) for r in f["runs"]]

@@ -801,6 +801,27 @@ def test_sketches_rule_out_no_linked_pair(spark, percent):
     assert 20 < len(linked) < 110 and linked <= got
 
 
+def test_rows_of_repeated_keys_are_found_without_sorting_them(spark):
+    rows = [(k % 7, k) for k in range(70)] + [(100, 1), (100, 1), (101, 2)]
+    got, sizes = substring_dedup._later(spark.createDataFrame(rows, "key bigint, doc_id bigint"), ["key"], Scratch(spark, "t"))
+    assert sorted(map(tuple, got.collect())) == sorted((k % 7, k, k % 7) for k in range(70))
+    assert sorted(map(tuple, sizes.collect())) == [(k, 10) for k in range(7)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_names_of_texts_are_made_for_a_block_at_once():
+    texts = ["a b c", None, "", "x y", "é a b a", " \t", "c b a"]
+    w = textkit.words(pa.array(texts, pa.string()))
+    want = []
+    for a, z in zip(w.word_at[:-1], w.word_at[1:], strict=True):
+        h = w.hash[a:z]
+        total = np.add.reduce(textkit.mix(h ^ textkit.mix(np.arange(len(h), dtype=np.uint64)))) + np.uint64(len(h))
+        want.append(int(textkit.mix(np.array([total], np.uint64))[0] >> np.uint64(1)))
+    assert substring_dedup.digests(w).tolist() == want
+    assert substring_dedup.digests(textkit.words(pa.array([], pa.string()))).tolist() == []
+
+
 def plain_match(p, q, n, similarity, block):
     m, mid = len(p), substring_dedup.REACH
     if p[mid] != q[mid]:
